@@ -28,18 +28,17 @@ SYMBOLS = "#*$%&|<>"
 LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "nl", "pl", "sv", "cs", "ru", "uk", "el", "tr", "ar", "fa", "he", "hi", "th", "vi", "id", "zh", "ja", "ko")
 #: First code points of the blocks that name a script, in ascending order.
 SCRIPTS = ((0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "indic"), (0xE00, "thai"), (0x1100, "hangul"), (0x1E00, "latin"), (0x3040, "kana"), (0x3400, "han"), (0xAC00, "hangul"), (0xD800, "other"))
+#: Words whose ids a worker keeps (two generations of so many).
+CACHE_ENTRIES = 400_000
 WORD_LINE = re.compile(r"[^\x20\x09-\x0D]").search
 LETTER = re.compile(r"[^\W\d_]").search
 
 
-def base_measures(text: str | None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    if not text:
-        return 0, 0, 0, 0, 0
-    words = text.encode().split()
+def base_measures(text: str | None, words: list[bytes]) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text and its words."""
     n = len(words)
     if not n:
-        return 0, 0, 0, 0, 0
+        return 0, 0, sum(map(text.count, SYMBOLS)) if text else 0, 0, 0
     joined = b"".join(words)
     chars = len(joined) if text.isascii() else len(joined.decode())
     symbols = sum(map(text.count, SYMBOLS))
@@ -86,42 +85,64 @@ def script_of(text: str) -> str:
     return next(name for first, name in reversed(SCRIPTS) if middle >= first)
 
 
-@lru_cache(maxsize=2)
-def vocabulary(path: str):
-    import sentencepiece
+class Vocabulary:
+    """Tokenises words one by one, each as after a space, and keeps the ids of recent words."""
+
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
+        self.entries = entries
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
-    return model, byte
+    def learn(self, texts: list[list[bytes]]) -> None:
+        if len(self.new) >= self.entries:
+            self.old, self.new = self.new, {}
+        missing = set().union(*texts).difference(self.new)
+        for word in [w for w in missing if w in self.old]:
+            self.new[word] = self.old[word]
+            missing.discard(word)
+        words = list(missing)
+        for word, ids in zip(words, self.model.encode([w.decode(errors="replace") for w in words]), strict=True):
+            self.new[word] = np.array(ids, np.int32).tobytes()
 
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.new.__getitem__, words)), np.int32)
 
-def fertility(ids: list[int], n_chars: int, byte: np.ndarray) -> tuple[float, float, float]:
-    """Characters per token, byte-fallback share and relative token entropy; a text without tokens has 0, 0 and 0."""
-    if not ids:
-        return 0.0, 0.0, 0.0
-    ids = np.array(ids)
-    n = len(ids)
-    share = np.sort(ids)
-    counts = np.diff(np.r_[0, np.flatnonzero(share[1:] != share[:-1]) + 1, n]) / n
-    entropy = float(-(counts * np.log2(counts)).sum())
-    return n_chars / n, float(byte[ids].mean()), entropy / np.log2(n) if n > 1 else 0.0
+    def fertility(self, words: list[bytes], n_chars: int) -> tuple[float, float, float]:
+        """Characters per token, byte-fallback share and relative token entropy; a text without tokens has 0, 0 and 0."""
+        ids = np.sort(self.ids(words))
+        n = len(ids)
+        if not n:
+            return 0.0, 0.0, 0.0
+        counts = np.diff(np.r_[0, np.flatnonzero(ids[1:] != ids[:-1]) + 1, n]) / n
+        entropy = float(-(counts * np.log2(counts)).sum())
+        return n_chars / n, float(self.byte[ids].mean()), entropy / float(np.log2(n)) if n > 1 else 0.0
+
+
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
 
 
 def measures(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """One row per document: the base measures, the band's name and the three of the vocabulary. A narrow plan."""
 
     def make():
-        model, byte = vocabulary(path)
+        model = vocabulary(path)
         own = frozenset(LANGUAGES)
 
         def block(columns):
             ids, texts, langs = columns
             rows = []
-            for text, lang in zip(texts, langs, strict=True):
-                base = base_measures(text)
+            split = [t.encode().split() if t else [] for t in texts]
+            model.learn(split)
+            for text, words, lang in zip(texts, split, langs, strict=True):
+                base = base_measures(text, words)
                 group = lang if lang in own else f"script {script_of(text or '')}"
-                tokens = model.encode(text) if base[0] else []
-                rows.append((*base, group, *fertility(tokens, base[1], byte)))
+                rows.append((*base, group, *model.fertility(words, base[1])))
             return [ids, *(map(list, zip(*rows, strict=True)) if rows else [[]] * 9)]
 
         return block

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from termloom.llm.byte_bpe import round_trip
 from termloom.llm.common import table
 from termloom.llm.decontamination import decontaminate
+from termloom.llm.jaccard_join import jaccard_components
 from termloom.llm.quality_rules import quality_rules
 from termloom.llm.token_counts import token_counts
+from termloom.llm.warc import archive_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +22,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -32,8 +38,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality_rules, op5_token_counts, op7_benchmark_decontamination, op8_byte_bpe)}
+    return {f.__name__: f for f in (op2_quality_rules, op4_ngram_jaccard_join, op5_token_counts, op7_benchmark_decontamination, op8_byte_bpe, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
