@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.runtime import ship_package
+
 ARROW_TYPES = {
     "bigint": pa.int64(),
     "int": pa.int32(),
@@ -72,6 +74,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list
                 found = block([column.to_pylist() for column in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(found, kinds, strict=True)], names=names)
 
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, ddl(schema))
 
 

@@ -30,6 +30,7 @@ LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "nl", "pl", "sv", "cs", "ru", "
 SCRIPTS = ((0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "indic"), (0xE00, "thai"), (0x1100, "hangul"), (0x1E00, "latin"), (0x3040, "kana"), (0x3400, "han"), (0xAC00, "hangul"), (0xD800, "other"))
 #: Words whose ids a worker keeps (two generations of so many).
 CACHE_ENTRIES = 400_000
+MOST_CLASS = 20
 WORD_LINE = re.compile(r"[^\x20\x09-\x0D]").search
 LETTER = re.compile(r"[^\W\d_]").search
 
@@ -154,42 +155,49 @@ def measures(docs: DataFrame, path: str, id_column: str = "doc_id", text_column:
     return found.withColumn("base_failed", failed)
 
 
-def band_limits(measured: DataFrame, width: float, least: int) -> dict[str, tuple[float, float, float]]:
-    """For each band: least characters per token, most fallback share, least entropy.
+def length_class(n_words):
+    """The power of two below the number of words: entropy falls with length, so its bands are for texts of like length."""
+    return F.least(F.floor(F.log2(F.greatest(n_words, F.lit(1)).cast("double"))), F.lit(MOST_CLASS)).cast("int")
 
-    Partial sketches are merged for at most len(LANGUAGES) + len(SCRIPTS) groups, so
-    what reaches the driver is bounded by the two fixed lists.
+
+def limit_column(limits: dict, keys: tuple[str, ...], default: float):
+    """A column with the limit of a row's group; of all groups where its own is too small."""
+    column = F.lit(limits.get((None,) * len(keys), default))
+    if len(keys) == 2:  # a class of length over all bands comes before all lengths
+        for (band, size), value in limits.items():
+            if band is None and size is not None:
+                column = F.when(F.col(keys[1]) == size, F.lit(value)).otherwise(column)
+    for group, value in limits.items():
+        if None not in group:
+            same = [F.col(k) == g for k, g in zip(keys, group, strict=True)]
+            column = F.when(same[0] if len(same) == 1 else same[0] & same[1], F.lit(value)).otherwise(column)
+    return column
+
+
+def group_limits(measured: DataFrame, keys: tuple[str, ...], name: str, width: float, floor: float, least: int) -> dict:
+    """The median of each group, moved by width times its quartiles' distance (floor at least).
+
+    Partial sketches are merged for a number of groups that the fixed lists of languages,
+    scripts and length classes bound, so what reaches the driver is bounded too.
     """
-    names = ("chars_per_token", "fallback_share", "token_entropy")
-    quartiles = [F.percentile_approx(n, [0.25, 0.5, 0.75], 2000).alias(n) for n in names]
-    passing = measured.where(~F.col("base_failed"))
-    rows = passing.rollup("band").agg(F.count("*").alias("n"), *quartiles).collect()
-    limits = {}
-    for row in rows:
-        if not row.n or (row.band is not None and row.n < least):
-            continue
-        fertile, fallback, entropy = (row[n] for n in names)
-        spread = lambda q, floor: max(q[2] - q[0], floor)
-        limits[row.band or ""] = (fertile[1] - width * spread(fertile, 0.05 * fertile[1]), fallback[1] + width * spread(fallback, 0.02), entropy[1] - width * spread(entropy, 0.03))
-    return limits
-
-
-def quality_rules(docs: DataFrame, path: str, width: float = 5.0, least: int = 30, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    quartiles = F.percentile_approx(name, [0.25, 0.5, 0.75], 2000).alias("q")
+    rows = measured.where(~F.col("base_failed")).cube(*keys).agg(F.count("*").alias("n"), quartiles).collect()
+    return {tuple(row[k] for k in keys): row.q[1] + width * max(row.q[2] - row.q[0], floor) for row in rows if row.n >= least}
+
+
+def quality_rules(docs: DataFrame, path: str, width: float = 4.0, least: int = 30, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """One row per document with its measures, base_failed and kept.
 
     The measures are written once to the checkpoint folder (numbers only, no texts) and
-    read twice: for the bands and for the verdicts. No row is shuffled.
+    read again for the bands and for the verdicts. No row is shuffled.
     """
-    measured = cut(measures(docs, path, id_column, text_column, lang_column))
-    limits = band_limits(measured, width, least)
-    default = limits.get("", (float("-inf"), float("inf"), float("-inf")))
-
-    def limit(k):
-        column = F.lit(default[k])
-        for band, values in limits.items():
-            if band:
-                column = F.when(F.col("band") == band, F.lit(values[k])).otherwise(column)
-        return column
-
-    outside = (F.col("chars_per_token") < limit(0)) | (F.col("fallback_share") > limit(1)) | (F.col("token_entropy") < limit(2))
-    return measured.withColumn("kept", ~F.col("base_failed") & ~outside)
+    measured = cut(measures(docs, path, id_column, text_column, lang_column).withColumn("length_class", length_class(F.col("n_words"))))
+    fertile = group_limits(measured, ("band",), "chars_per_token", -width, 0.02, least)
+    fallback = group_limits(measured, ("band",), "fallback_share", width, 0.01, least)
+    entropy = group_limits(measured, ("band", "length_class"), "token_entropy", -width, 0.02, least)
+    outside = (
+        (F.col("chars_per_token") < limit_column(fertile, ("band",), float("-inf")))
+        | (F.col("fallback_share") > limit_column(fallback, ("band",), float("inf")))
+        | (F.col("token_entropy") < limit_column(entropy, ("band", "length_class"), float("-inf")))
+    )
+    return measured.withColumn("kept", ~F.col("base_failed") & ~outside).drop("length_class")

@@ -13,6 +13,7 @@ from termloom.llm.decontamination import decontaminate
 from termloom.llm.html_extraction import extract_main_text
 from termloom.llm.jaccard_join import jaccard_components
 from termloom.llm.pii import find_pii
+from termloom.llm.quality_classifier import classify
 from termloom.llm.quality_rules import quality_rules
 from termloom.llm.secret_scans import scan_secrets
 from termloom.llm.token_counts import token_counts
@@ -57,8 +58,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_secret_scans, op4_ngram_jaccard_join, op5_token_counts, op6_pii, op7_benchmark_decontamination, op8_byte_bpe, op9_warc)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_secret_scans, op4_ngram_jaccard_join, op5_token_counts, op6_pii, op7_benchmark_decontamination, op8_byte_bpe, op9_warc, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
