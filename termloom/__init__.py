@@ -1,0 +1 @@
+"""Lexical search and retrieval evaluation on Spark DataFrames."""
