@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -53,6 +54,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are no longer in use."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ddl(schema: Schema) -> str:
     return ", ".join(f"`{name}` {kind}" for name, kind in schema)
 

@@ -5,12 +5,13 @@ A class enters the inverted lists of its prefix only: its first shingles in one
 order, rare ones first, of which any set similar enough shares at least one.
 
 * Index-level skipping: a list is cut into blocks by set size, and each entry carries its
-  position. A block whose smallest size and position rule an entry out is skipped for it.
+  position. A block whose smallest size and the entry's position rule it out is skipped for it.
 * Answer-level skipping: in each block one set is the leader, whose answers (overlaps
   with all other sets of the block) are computed first. For another set they bound the
   overlap with any third one from above, by what each shares with the leader and the
   sizes of what each adds to it, so that most of its answers need no computing; sets that
-  the leader's answers already link are settled. Only what is left is compared.
+  the leader's answers already link are settled. Only what is left is compared, after
+  parity bits of the sets, whose differing bits bound the shingles not shared from below.
 
 The global order sends shingles that are frequent in a documented sample of the
 documents to the end. It changes how much work there is, never the result.
@@ -22,21 +23,21 @@ links. Repeated rows have equal sets; rows of one id are one node of the graph.
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import Recent, arrow_map, cut, documents
+from termloom.llm.common import Recent, arrow_map, cut, documents, release
 
 #: One document in so many is counted for the order of the shingles.
 SAMPLE = 16
 #: Shingles that the order moves to the end, at most; the most frequent of the sample.
 HEAVY_SHINGLES = 200_000
 #: Times that new leaders are tried before the remaining pairs are compared.
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+#: Ids that may be broadcast (8 bytes each); more are shuffled.
+BROADCAST_IDS = 500_000
 #: Words whose hashes a worker keeps (two generations of so many).
 CACHE_ENTRIES = 300_000
 
@@ -66,10 +67,16 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(rolled.view(np.int64))
 
 
-def release(spark) -> None:
-    """Let Spark delete the shuffle files of plans that are no longer in use."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def parity_bits(own: np.ndarray) -> np.ndarray:
+    """One parity bit for about each shingle: bits that differ between two sets are no more than the shingles that they do not share.
+
+    The number of 64-bit words is a power of two, so the longer of two can be folded.
+    """
+    bits = 64
+    while bits < len(own):
+        bits *= 2
+    odd = np.bincount(own & (bits - 1), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8")
 
 
 def heavy_shingles(docs: DataFrame, width: int) -> np.ndarray:
@@ -112,34 +119,56 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
         def block(columns):
             sets = [shingle_set(t, width) for t in columns[1]]
-            return [columns[0], [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [prefix(s) for s in sets]]
+            return [columns[0], [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [prefix(s) for s in sets], [parity_bits(s) for s in sets]]
 
         return block
 
-    return arrow_map(docs, make, [("id", "bigint"), ("n", "bigint"), ("digest", "binary"), ("prefix", "array<bigint>")])
+    return arrow_map(docs, make, [("id", "bigint"), ("n", "bigint"), ("digest", "binary"), ("prefix", "array<bigint>"), ("bits", "array<bigint>")])
 
 
-def shared_entries(signed: DataFrame, percent: int) -> DataFrame:
+def classes_of(signed: DataFrame) -> DataFrame:
+    """One row per distinct set, named by its smallest id."""
+    return signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+
+
+def shared_entries(classes: DataFrame, percent: int) -> DataFrame:
     """The lists of two sets or more: shingle, block (of sizes), rep, n, pos.
 
-    Equal sets are one class, named by its smallest id. A list is counted by a partial
-    aggregation; the join back onto its entries can be split where it is skewed.
+    A list is counted by a partial aggregation; the join back onto its entries can be
+    split where it is skewed. Entries whose position leaves too little to share with the
+    smallest set of their block are skipped.
     """
-    classes = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     entries = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "shingle"))
     lists = entries.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle")
     ratio = float(np.log(100 / percent))
     size_block = F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio))
     # Sizes of similar sets are in one block or in two that follow each other: each set stands in its own and the next.
-    return entries.join(lists, "shingle").withColumn("block", F.explode(F.array(size_block, size_block + 1)))
+    shared = cut(entries.join(lists, "shingle")).withColumn("block", F.explode(F.array(size_block, size_block + 1)))
+    blocks = shared.groupBy("shingle", "block").agg(F.count("*").alias("k"), F.min("n").alias("least_n")).where("k > 1").select("shingle", "block", "least_n")
+    floor = F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100))
+    return shared.join(blocks, ["shingle", "block"]).where(F.col("n") - F.col("pos") >= required(F.col("n"), floor, percent)).drop("least_n")
 
 
 def sets_of(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """rep and its shingles. Few ids are broadcast to the scan, more are joined by a shuffle."""
+
     def make():
         return lambda columns: [columns[0], [shingle_set(t, width) for t in columns[1]]]
 
-    needed = docs.join(reps.withColumnRenamed("rep", "id"), "id", "left_semi")
-    return arrow_map(needed, make, [("rep", "bigint"), ("shingles", "array<bigint>")])
+    ids = reps.withColumnRenamed("rep", "id")
+    if reps.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return arrow_map(docs.join(ids, "id", "left_semi"), make, [("rep", "bigint"), ("shingles", "array<bigint>")])
+
+
+def possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose parity bits do not differ in more places than similar sets of their sizes may."""
+    left, right = (bits.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"{x}_bits")) for x in "ab")
+    folded = "IF(size({0}) > {1}, zip_with(slice({0}, 1, {1}), slice({0}, {1} + 1, {1}), (x, y) -> x ^ y), {0})"
+    least = "least(size(a_bits), size(b_bits))"
+    differing = F.expr(f"aggregate(zip_with({folded.format('a_bits', least)}, {folded.format('b_bits', least)}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    most = F.col("na") + F.col("nb") - 2 * required(F.col("na"), F.col("nb"), percent)
+    return pairs.join(right, "b").join(left, "a").where(differing <= most).select("a", "b")
 
 
 def required(n, m, percent: int):
@@ -188,9 +217,7 @@ def size_fits(n, m, percent: int):
     return (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
 
 
-def labelled(lists: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
-        return lists.withColumn("comp", F.col("rep"))
+def labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
     found = components(links).select(F.col("node").alias("rep"), "component")
     return lists.join(found, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
 
@@ -212,12 +239,9 @@ def remaining_pairs(lists: DataFrame, answers: DataFrame, percent: int) -> DataF
     sides = answers.select(F.col("a").alias("rep"), F.col("b").alias("lead"), "o").unionByName(answers.select(F.col("b").alias("rep"), F.col("a").alias("lead"), "o"))
     closest = sides.groupBy("rep").agg(F.max(F.struct("o", "lead")).alias("x")).select("rep", F.col("x.lead").alias("lead"), F.col("x.o").alias("o"))
     known = lists.join(closest, "rep", "left").select("shingle", "block", "rep", "n", "pos", "comp", "lead", "o")
-    sizes = known.groupBy("shingle", "block", "comp").agg(F.count("*").alias("k"), F.min("n").alias("least_n"))
-    blocks = sizes.groupBy("shingle", "block").agg(F.max(F.struct("k", "comp")).alias("x"), F.count("*").alias("c"), F.min("least_n").alias("least_n")).where("c > 1").select("shingle", "block", F.col("x.comp").alias("most"), "least_n")
+    sizes = known.groupBy("shingle", "block", "comp").agg(F.count("*").alias("k"))
+    blocks = sizes.groupBy("shingle", "block").agg(F.max(F.struct("k", "comp")).alias("x"), F.count("*").alias("c")).where("c > 1").select("shingle", "block", F.col("x.comp").alias("most"))
     live = known.join(blocks, ["shingle", "block"])
-    # Index-level skip: this position leaves too little to share with the smallest set that the block may pair it with.
-    floor = F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100))
-    live = live.where(F.col("n") - F.col("pos") >= required(F.col("n"), floor, percent))
     seek = live.where("comp != most").select("shingle", "block", *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "pos", "comp", "lead", "o")))
     need = required(F.col("n"), F.col("x_n"), percent)
     by_position = F.least(F.col("n") - F.col("pos"), F.col("x_n") - F.col("x_pos")) >= need
@@ -234,32 +258,31 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     source = documents(docs, id_column, text_column)
     signed = cut(signatures(source, width, percent))
     release(spark)
-    lists = cut(shared_entries(signed, percent))
-    release(spark)
-    sets = cut(sets_of(source, lists.select("rep").distinct(), width))
+    classes = classes_of(signed)
+    lists = cut(shared_entries(classes, percent))
+    bits = cut(classes.select("rep", "n", "bits").join(lists.select("rep").distinct(), "rep", "left_semi"))
     release(spark)
     answers: DataFrame | None = None
+    sets: DataFrame | None = None
     links: DataFrame | None = None
-    for pairs_of in [*leader_turns(percent), None]:
-        now = cut(labelled(lists, links)) if links is not None else labelled(lists, None)
-        if pairs_of is not None:
-            pairs = pairs_of(now)
-        elif answers is not None:
-            pairs = remaining_pairs(now, answers, percent)
+    for turn in range(LEADER_ROUNDS + 1):
+        now = lists.withColumn("comp", F.col("rep")) if links is None else cut(labelled(lists, links))
+        pairs = leader_pairs(now, turn, percent) if turn < LEADER_ROUNDS else remaining_pairs(now, answers, percent)
         if answers is not None:
             pairs = pairs.join(answers.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = cut(possible(pairs, bits, percent))
+        needed = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+        if sets is not None:
+            needed = needed.join(sets.select("rep"), "rep", "left_anti")
+        more = cut(sets_of(source, cut(needed), width))
+        sets = more if sets is None else sets.unionByName(more)
         found = cut(overlaps(pairs, sets, percent))
         answers = found if answers is None else answers.unionByName(found)
         links = answers.where("linked").select("a", "b")
         release(spark)
     labels = components(links)
-    classes = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
-    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    named = classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     # An empty set has no class: its own id, its own component.
     joined = signed.select("id", "n", "digest").join(named, "digest", "left")
     return joined.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
-
-def leader_turns(percent: int) -> Iterator:
-    for turn in range(LEADER_ROUNDS):
-        yield lambda lists, turn=turn: leader_pairs(lists, turn, percent)
