@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from termloom.llm import sql
 from termloom.llm.byte_bpe import round_trip
 from termloom.llm.common import table
 from termloom.llm.decontamination import decontaminate
@@ -67,4 +68,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that it can express; the others are tested against libraries, brute force or held-out labels."""
+    return sql.oracle_sql()
