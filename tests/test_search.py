@@ -234,3 +234,19 @@ def test_structured_batch(index):
         assert [r.doc_id for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == q] == ids(search_structured(text, index))
     with pytest.raises(QueryParseError):  # K27
         search_structured_batch([*pairs, ("bad", "(a")], index)
+
+
+def test_operator_words_are_terms_of_a_plain_query(index, spark):
+    """K13"""
+    from termloom.operators.ranking import query_terms
+
+    queries = spark.createDataFrame([("q", "crime AND family NEAR/3 x")], "query_id string, query string")
+    assert {(r.term, r.qtf) for r in query_terms(queries, index).collect()} == {(t, 1) for t in ("crime", "and", "family", "near", "3", "x")}
+
+
+def test_ranks_ignore_noise_beyond_nine_decimals(spark):
+    """K26"""
+    from termloom.operators.ranking import ranked
+
+    scores = spark.createDataFrame([("q", "b", 0.1 + 0.2), ("q", "a", 0.3)], "query_id string, doc_id string, score double")
+    assert [r.doc_id for r in ranked(scores, 2).orderBy("rank").collect()] == ["a", "b"]
