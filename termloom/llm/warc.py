@@ -23,7 +23,7 @@ from hashlib import sha1, sha256
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm.common import arrow_map, shared_folder
+from termloom.llm.common import arrow_map, cut, release, shared_folder
 
 #: Records carry this date unless the caller names another; an archive is the same each time it is written.
 DATE = "2000-01-01T00:00:00Z"
@@ -72,9 +72,10 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0, id_column:
     payload = F.encode(F.coalesce(F.col(html_column).cast("string"), F.lit("")), "utf-8")
     records = pages.select(F.col(id_column).cast("bigint").alias("page_id"), F.col(url_column).cast("string").alias("url"), payload.alias("payload")).select("*", F.sha2("payload", 256).alias("address"), F.octet_length("payload").cast("bigint").alias("n_bytes"))
     narrow = records.select("page_id", "url", "address", "n_bytes", F.upper(F.sha1("payload")).alias("sha1"))
-    firsts = records.select("address", "page_id").groupBy("address").agg(F.min("page_id").alias("first_id"))
+    rows = records.select("address", "page_id").groupBy("address", "page_id").agg(F.count("*").alias("n"))
+    firsts = cut(rows.groupBy("address").agg(F.min("page_id").alias("first_id"), F.max("n").alias("n")))
     revisit = (F.col("n_bytes") >= F.lit(min_bytes)) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    typed = narrow.join(firsts, "address").select("page_id", "url", "address", "n_bytes", "sha1", "first_id", revisit.alias("revisit"))
+    typed = narrow.join(firsts.drop("n"), "address").select("page_id", "url", "address", "n_bytes", "sha1", "first_id", revisit.alias("revisit"))
 
     def make():
         def block(columns):
@@ -86,9 +87,12 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0, id_column:
 
     archive = Archive(f"{folder}/headers", f"{folder}/payloads")
     arrow_map(typed, make, [("page_id", "bigint"), ("address", "string"), ("header", "binary")], rows=4096).write.parquet(archive.headers)
-    firsts = firsts.withColumnRenamed("address", "own")
-    once = records.join(firsts, (F.col("address") == F.col("own")) & F.col("page_id").eqNullSafe(F.col("first_id")), "left_semi")
-    once.select("address", "payload").dropDuplicates(["address"]).write.parquet(archive.payloads)
+    release(pages.sparkSession)
+    repeated = not firsts.where("n > 1").isEmpty()
+    own = firsts.select(F.col("address").alias("own"), "first_id")
+    once = records.join(own, (F.col("address") == F.col("own")) & F.col("page_id").eqNullSafe(F.col("first_id")), "left_semi").select("address", "payload")
+    # Each address has one first row, unless whole rows are repeated: only then a second shuffle makes them one.
+    (once.dropDuplicates(["address"]) if repeated else once).write.parquet(archive.payloads)
     return archive
 
 
@@ -130,7 +134,9 @@ def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write an archive in the shared folder and read every record back."""
     spark = pages.sparkSession
     folder = f"{shared_folder(spark)}/termloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    return verified_records(spark, write_archive(pages, folder, min_bytes)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    archive = write_archive(pages, folder, min_bytes)
+    release(spark)  # the shuffle of the payloads, before they are shuffled again
+    return verified_records(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def parse_file(data: bytes):
