@@ -21,12 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import arrow_map, cut
+from termloom.llm.common import arrow_map, cut, release
 
 #: A subtree recurs if so many distinct pages of its host have it, and such a share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.1
-#: Lists of deletions (pages) that may be broadcast; more are joined by a shuffle.
-BROADCAST_PAGES = 2_000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?>[^\"'>]+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -216,9 +214,9 @@ def extract_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: f
     """page_id, url, text and n_chars of every row."""
     source = sources(pages, id_column, url_column, html_column)
     lists = cut(deletions(source, min_pages, min_share))
-    if lists.count() <= BROADCAST_PAGES:
-        lists = F.broadcast(lists)
-    joined = source.join(lists, ["host", "digest"], "left").select("page_id", "url", "html", "deleted")
+    release(pages.sparkSession)
+    # The lists grow with the pages, so they are joined by a shuffle, which can be split where a page has many copies.
+    joined = source.join(lists.hint("merge"), ["host", "digest"], "left").select("page_id", "url", "html", "deleted")
 
     def make():
         def block(columns):
