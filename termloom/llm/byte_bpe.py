@@ -17,17 +17,16 @@ from __future__ import annotations
 
 import base64
 import re
-from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from termloom.llm.common import arrow_map, documents
+from termloom.llm.common import arrow_map, documents, resident
 
 #: Chunks whose ids a worker keeps (two generations of so many).
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 #: Bytes of new pieces replayed together at most.
 CORPUS_BYTES = 2_000_000
 #: No merge: above every rank.
@@ -172,9 +171,8 @@ class MergeReplay:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
 def replayer(path: str, pattern: str) -> MergeReplay:
-    return MergeReplay(path, pattern)
+    return resident(__name__, (path, pattern), lambda: MergeReplay(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -80,7 +80,10 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list
     kinds = [ARROW_TYPES[kind] for _, kind in schema]
     names = [name for name, _ in schema]
 
+    owner = make.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leave_to(owner)
         block = make()
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
@@ -92,6 +95,25 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list
     return df.mapInArrow(run, ddl(schema))
 
 
+#: What a worker keeps from task to task (vocabularies, caches, tables): that of one operator at a time.
+RESIDENT: dict[str, dict] = {}
+
+
+def leave_to(owner: str) -> None:
+    """Forget what other operators keep in this worker, so that a pipeline's stages do not add up."""
+    for other in [o for o in RESIDENT if o != owner]:
+        del RESIDENT[other]
+
+
+def resident(owner: str, key, build: Callable):
+    """The object of an operator under a key, built once per worker; a new key replaces the old one."""
+    own = RESIDENT.setdefault(owner, {})
+    if key not in own:
+        own.clear()
+        own[key] = build()
+    return own[key]
+
+
 class Recent(dict):
     """A cache of two generations: full, it becomes the old one, whose entries return when used.
 

@@ -14,13 +14,12 @@ empty benchmark nothing is hit. Items without an id are counted under the name "
 from __future__ import annotations
 
 from collections import defaultdict
-from functools import lru_cache
 from hashlib import sha256
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import arrow_map, documents
+from termloom.llm.common import arrow_map, documents, resident
 
 #: Bytes of benchmark text in one set of tables; a larger benchmark is searched in slices of this size at most.
 SLICE_BYTES = 8_000_000
@@ -99,9 +98,8 @@ class WuManber:
             search.run(ids, hit, items)
 
 
-@lru_cache(maxsize=1)
 def tables(key: str, load) -> WuManber:
-    return WuManber(*load())
+    return resident(__name__, key, lambda: WuManber(*load()))
 
 
 class Slice:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import Recent, arrow_map, cut, documents, release
+from termloom.llm.common import arrow_map, cut, documents, release
 
 #: One document in so many is counted for the order of the shingles.
 SAMPLE = 16
@@ -38,12 +38,9 @@ HEAVY_SHINGLES = 200_000
 LEADER_ROUNDS = 2
 #: Ids that may be broadcast (8 bytes each); more are shuffled.
 BROADCAST_IDS = 500_000
-#: Words whose hashes a worker keeps (two generations of so many).
-CACHE_ENTRIES = 300_000
 
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-HASHES = Recent(xxhash.xxh64_intdigest, CACHE_ENTRIES)
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -54,7 +51,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
         return np.empty(0, np.int64)
     if n < width:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=n)], np.uint64).view(np.int64)
-    hashes = np.fromiter(map(HASHES.__getitem__, words), np.uint64, n)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
     rolled = hashes[: n - width + 1].copy()
     for i in range(1, width):
         rolled *= FACTOR

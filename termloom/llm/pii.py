@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import arrow_map, documents
+from termloom.llm.common import arrow_map, documents, leave_to
 from termloom.runtime import ship_package
 
 KINDS = ("email", "ip", "card", "phone")
@@ -352,6 +352,7 @@ def mask_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     at = docs.columns.index(text_column)
 
     def run(batches):
+        leave_to(__name__)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import Recent, arrow_map
+from termloom.llm.common import Recent, arrow_map, resident
 
 WORDS, MEASURES, META = 1 << 16, 64, 1 << 12
 DIMENSIONS = WORDS + MEASURES
@@ -35,7 +35,8 @@ SHARE = 0.05
 TARGETS = ("quality", "toxic")
 SPACES = b" \t\n\r\x0b\x0c"
 
-HASHES = Recent(lambda word: zlib.crc32(word.strip(b".,;:!?\"'()[]{}<>|*#$%&")) % WORDS, 400_000)
+def feature_of(word: bytes) -> int:
+    return zlib.crc32(word.strip(b".,;:!?\"'()[]{}<>|*#$%&")) % WORDS
 
 
 def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +46,7 @@ def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     n = len(words)
     if not n:
         return np.array([WORDS], np.int32), np.array([1.0], np.float32)
-    ids = np.fromiter(map(HASHES.__getitem__, words), np.int32, n)
+    ids = np.fromiter(map(resident(__name__, "words", lambda: Recent(feature_of, 200_000)).__getitem__, words), np.int32, n)
     index, counts = np.unique(ids, return_counts=True)
     values = np.log1p(counts).astype(np.float32) / 2
     chars = max(1, len(text))

@@ -16,13 +16,12 @@ alike. A language with fewer than ``least`` passing texts takes the band of all.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import arrow_map, cut
+from termloom.llm.common import arrow_map, cut, resident
 
 SYMBOLS = "#*$%&|<>"
 #: Languages with a band of their own (ISO 639-1).
@@ -30,7 +29,7 @@ LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "nl", "pl", "sv", "cs", "ru", "
 #: First code points of the blocks that name a script, in ascending order.
 SCRIPTS = ((0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "indic"), (0xE00, "thai"), (0x1100, "hangul"), (0x1E00, "latin"), (0x3040, "kana"), (0x3400, "han"), (0xAC00, "hangul"), (0xD800, "other"))
 #: Words whose ids a worker keeps (two generations of so many).
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 MOST_CLASS = 20
 DIGIT = re.compile(rb"[0-9]").search
 WORD_LINE = re.compile(r"[^\x20\x09-\x0D]").search
@@ -125,9 +124,8 @@ class Vocabulary:
         return n_chars / n, float(self.byte[ids].mean()), entropy / float(np.log2(n)) if n > 1 else 0.0
 
 
-@lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    return resident(__name__, path, lambda: Vocabulary(path))
 
 
 def measures(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:

@@ -13,17 +13,16 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import Recent, arrow_map, documents
+from termloom.llm.common import Recent, arrow_map, documents, resident
 
 #: Entries in each of a worker's two caches (a cache keeps up to twice as many).
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES = 250_000
 
 SHIFT = 20
 LOW = (1 << SHIFT) - 1
@@ -133,9 +132,8 @@ class MergeCounter:
         return len(segments) - 1 + sum(map(self.segment_count, segments))
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> MergeCounter:
-    return MergeCounter(path)
+    return resident(__name__, path, lambda: MergeCounter(path))
 
 
 def token_counts(docs: DataFrame, path: str, max_tokens: int = 2048, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
