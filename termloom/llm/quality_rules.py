@@ -6,8 +6,10 @@ that so many tokens could have). Words with a digit are left out of the
 three; a text with no others measures 0. Bands come from the corpus itself: for each language
 the quartiles over all texts that pass the base rules, widened by a multiple of their
 distance. A text outside a band of its language is rejected; languages outside the
-fixed list share the band of their script. Junk lowers the characters per token, and
-repetition the entropy; a text of better fertility than its language is no worse for it.
+fixed list share the band of their script. Characters per token and entropy vary with
+length, so their bands are also per length class. Junk lowers the characters per token, and
+repetition the entropy. The width is set from the labels of the tables (README): 2 for
+these; the upper band of characters per token is wider, as no labelled junk is above it.
 
 Null and empty texts have no words and fail the base rules. Repeated rows are judged
 alike. A language with fewer than ``least`` passing texts takes the band of all.
@@ -159,7 +161,7 @@ def measures(docs: DataFrame, path: str, id_column: str = "doc_id", text_column:
 
 
 def length_class(n_words):
-    """The power of two below the number of words: entropy falls with length, so its bands are for texts of like length."""
+    """The power of two below the number of words: entropy falls with length and characters per token vary less, so their bands are for texts of like length."""
     return F.least(F.floor(F.log2(F.greatest(n_words, F.lit(1)).cast("double"))), F.lit(MOST_CLASS)).cast("int")
 
 
@@ -188,19 +190,22 @@ def group_limits(measured: DataFrame, keys: tuple[str, ...], name: str, width: f
     return {tuple(row[k] for k in keys): row.q[1] + width * max(row.q[2] - row.q[0], floor) for row in rows if row.n >= least}
 
 
-def quality_rules(docs: DataFrame, path: str, width: float = 4.0, least: int = 30, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+def quality_rules(docs: DataFrame, path: str, width: float = 2.0, least: int = 30, upper_width: float = 4.0, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """One row per document with its measures, base_failed and kept.
 
     The measures are written once to the checkpoint folder (numbers only, no texts) and
     read again for the bands and for the verdicts. No row is shuffled.
     """
     measured = cut(measures(docs, path, id_column, text_column, lang_column).withColumn("length_class", length_class(F.col("n_words"))))
-    fertile = group_limits(measured, ("band",), "chars_per_token", -width, 0.02, least)
+    classes = ("band", "length_class")
+    fertile = group_limits(measured, classes, "chars_per_token", -width, 0.02, least)
+    too_fertile = group_limits(measured, classes, "chars_per_token", upper_width, 0.02, least)
     fallback = group_limits(measured, ("band",), "fallback_share", width, 0.01, least)
-    entropy = group_limits(measured, ("band", "length_class"), "token_entropy", -width, 0.02, least)
+    entropy = group_limits(measured, classes, "token_entropy", -width, 0.02, least)
     outside = (
-        (F.col("chars_per_token") < limit_column(fertile, ("band",), float("-inf")))
+        (F.col("chars_per_token") < limit_column(fertile, classes, float("-inf")))
+        | (F.col("chars_per_token") > limit_column(too_fertile, classes, float("inf")))
         | (F.col("fallback_share") > limit_column(fallback, ("band",), float("inf")))
-        | (F.col("token_entropy") < limit_column(entropy, ("band", "length_class"), float("-inf")))
+        | (F.col("token_entropy") < limit_column(entropy, classes, float("-inf")))
     )
     return measured.withColumn("kept", ~F.col("base_failed") & ~outside).drop("length_class")

@@ -2,6 +2,8 @@ import random
 from collections import Counter
 
 import public_tokenizers as P
+import sentencepiece
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import EDGES, by_id, documents, edge_documents, no_documents, sha, words
 from termloom.llm.decontamination import decontaminate, words_of
@@ -51,6 +53,27 @@ def test_bands_reject_junk_and_keep_prose(spark):
     assert not any(got[i].kept for i in range(150, 155))
 
 
+def test_bands_reject_the_labelled_junk_of_the_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    found = quality_rules(docs, PIECES).where(~F.col("base_failed")).join(labels, "doc_id").collect()
+    junk = [r.kept for r in found if r.quality == 0]
+    clean = [r.kept for r in found if r.quality == 1]
+    assert len(junk) >= 20 and sum(junk) <= 0.15 * len(junk)
+    assert len(clean) >= 300 and sum(clean) >= 0.98 * len(clean)
+
+
+def test_too_many_characters_per_token_are_rejected(spark):
+    r = random.Random(6)
+    vocabulary = ["".join(r.choices(["tion", "the", "and", "er", "ing", "st"], k=r.randint(1, 3))) for _ in range(3000)]
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    pieces = [model.id_to_piece(i)[1:] for i in range(model.get_piece_size()) if model.id_to_piece(i)[0] == "\u2581" and len(model.id_to_piece(i)) > 9]
+    texts = [prose(r, r.randint(60, 120), vocabulary) for _ in range(150)]
+    docs = documents(spark, [*texts, " ".join(r.sample([p for p in pieces if p.isalpha()], 90))])
+    assert by_id(quality_rules(docs, PIECES, upper_width=1e9))[150].kept
+    assert not by_id(quality_rules(docs, PIECES))[150].kept
+
+
 def naive_hits(text, items, window=10):
     w = words_of(text)
     hit, found = [False] * len(w), set()
