@@ -2,8 +2,7 @@
 
 A public vocabulary measures each text: characters per token, the share of tokens that
 are byte fallbacks, and the entropy of its tokens (per token, as a share of the most
-that so many tokens could have). Words with a digit are left out of the
-three; a text with no others measures 0. Bands come from the corpus itself: for each language
+that so many tokens could have). All words of the text count. Bands come from the corpus itself: for each language
 the quartiles over all texts that pass the base rules, widened by a multiple of their
 distance. A text outside a band of its language is rejected; languages outside the
 fixed list share the band of their script. Characters per token and entropy vary with
@@ -33,7 +32,6 @@ SCRIPTS = ((0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x590, "hebre
 #: Words whose ids a worker keeps (two generations of so many).
 CACHE_ENTRIES = 200_000
 MOST_CLASS = 20
-DIGIT = re.compile(rb"[0-9]").search
 WORD_LINE = re.compile(r"[^\x20\x09-\x0D]").search
 LETTER = re.compile(r"[^\W\d_]").search
 
@@ -145,10 +143,7 @@ def measures(docs: DataFrame, path: str, id_column: str = "doc_id", text_column:
             for text, words, lang in zip(texts, split, langs, strict=True):
                 base = base_measures(text, words)
                 group = lang if lang in own else f"script {script_of(text or '')}"
-                # Numbers, keys and addresses are no language: a clean text is not worse for them.
-                plain = [w for w in words if not DIGIT(w)] if words and DIGIT(text.encode()) else words
-                chars = base[1] if plain is words else len(b"".join(plain).decode())
-                rows.append((*base, group, *model.fertility(plain, chars)))
+                rows.append((*base, group, *model.fertility(words, base[1])))
             return [ids, *(map(list, zip(*rows, strict=True)) if rows else [[]] * 9)]
 
         return block

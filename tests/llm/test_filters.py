@@ -5,7 +5,7 @@ import public_tokenizers as P
 import sentencepiece
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import EDGES, by_id, documents, edge_documents, no_documents, sha, words
+from tests.llm.helpers import DOCUMENTS, EDGES, by_id, documents, edge_documents, no_documents, sha, words
 from termloom.llm.decontamination import decontaminate, words_of
 from termloom.llm.quality_classifier import classify
 from termloom.llm.quality_rules import base_measures, quality_rules
@@ -74,6 +74,20 @@ def test_too_many_characters_per_token_are_rejected(spark):
     assert not by_id(quality_rules(docs, PIECES))[150].kept
 
 
+def test_words_with_digits_are_measured(spark):
+    r = random.Random(7)
+    vocabulary = ["".join(r.choices(["tion", "the", "and", "er", "ing", "st"], k=r.randint(1, 3))) for _ in range(3000)]
+    prosaic = [prose(r, r.randint(60, 700), vocabulary) for _ in range(150)]
+    keys = [f"{r.getrandbits(64):016x}" for _ in range(600)]
+    log = [" ".join(f"{r.randint(10, 23)}:{r.randint(10, 59)} host{r.randint(1, 9)} {r.randint(100, 999)}ms" for _ in range(r.randint(30, 60))) for _ in range(60)]
+    rows = [(i, t, "en", None, None) for i, t in enumerate([*prosaic, prose(r, 60, vocabulary) + " " + " ".join(keys)])]
+    rows += [(1000 + i, t, "de", None, None) for i, t in enumerate(log)]
+    got = by_id(quality_rules(spark.createDataFrame(rows, DOCUMENTS), PIECES))
+    assert not got[150].kept
+    assert sum(got[1000 + i].kept for i in range(60)) >= 50
+    assert all(got[1000 + i].chars_per_token > 0 for i in range(60))
+
+
 def naive_hits(text, items, window=10):
     w = words_of(text)
     hit, found = [False] * len(w), set()
