@@ -7,6 +7,7 @@ freed from the elements that are furniture by their kind (navigation, headers, f
 asides, forms, scripts) or by the words of their class, id or role. Where a page marks
 its article, only the article counts, and of it only containers, never its paragraphs
 and headings, may be deleted as templates: a passage that many articles quote stays.
+Comments, teasers and articles of which nothing is left do not mark a page's article.
 
 Null and empty pages have an empty text. Repeated pages count once for their host and
 have equal texts. A null url is a host of its own name "".
@@ -33,6 +34,9 @@ RAW = frozenset("script style textarea title noscript iframe template xmp noembe
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th".split())
 LANDMARKS = frozenset(("article", "main"))
+#: Classes of article elements that are readers' comments, and of those that lead to other pages.
+COMMENTS = frozenset(("comment", "comments", "reply"))
+TEASERS = frozenset(("teaser", "teasers", "related", "recommended"))
 ROOTS = frozenset(("html", "body", "article", "main"))
 FURNITURE = frozenset("head nav footer aside form button select menu dialog search label option fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -54,6 +58,11 @@ class Element:
         self.digest = xxhash.xxh64(name.encode()) if hashed and not protected else None
 
 
+def class_names(attributes: str) -> frozenset[str]:
+    found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)}
+    return frozenset(found.get("class", "").split())
+
+
 class Page:
     """The blocks of text of a page in order, and the subtrees that may be a template's."""
 
@@ -105,8 +114,9 @@ class Page:
             if element.digest is not None:
                 element.digest.update(name.encode() + b"<")
         parent = self.stack[-1] if self.stack else None
-        in_article = name in LANDMARKS or bool(parent and parent.in_article)
-        drop = bool(parent and parent.drop) or self.is_furniture(name, attributes, in_article)
+        classes = class_names(attributes) if name == "article" and attributes else frozenset()
+        in_article = name in LANDMARKS and not classes & (COMMENTS | TEASERS) or bool(parent and parent.in_article)
+        drop = bool(parent and parent.drop) or bool(classes & COMMENTS) or self.is_furniture(name, attributes, in_article)
         self.stack.append(Element(name, drop, in_article, len(self.blocks), self.hashed))
 
     @staticmethod
@@ -170,7 +180,7 @@ class Page:
         for value, first, end in self.subtrees:
             if value in deleted:
                 gone[first:end] = [True] * (end - first)
-        article = any(inside for _, _, inside in self.blocks)
+        article = any(inside and not no for (_, _, inside), no in zip(self.blocks, gone, strict=True))
         return "\n".join([text for (text, _, inside), no in zip(self.blocks, gone, strict=True) if not no and (inside or not article)])
 
 

@@ -23,6 +23,15 @@ def test_furniture_goes():
     assert text("<p title='a > b'>x</p><p data-x=\"1>2\">y</p>") == "x\ny"
 
 
+def test_comments_and_teasers_do_not_mark_the_article():
+    post = "<div class=post><p>Own text</p></div>"
+    assert text(f"{post}<section class=comments><article><p>c</p></article></section>") == "Own text"
+    assert text(f'{post}<article class="comment odd"><p>c</p></article>') == "Own text"
+    assert text(f"{post}<article class=teaser><p>t</p></article>") == "Own text\nt"
+    assert text("<article><p>a</p></article><article class=teaser><p>t</p></article>") == "a"
+    assert text('<article class="post comments-open"><p>a</p></article><p>x</p>') == "a"
+
+
 def test_long_and_broken_pages():
     assert text("<p>" + "a" * 300_000) == "a" * 300_000
     assert text("<div>" * 3_000 + "x" + "</div>" * 3_000) == "x"
