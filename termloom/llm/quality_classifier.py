@@ -1,18 +1,24 @@
 """Quality and toxicity classifier by co-training.
 
-Two views of a document are kept apart: its text (hashed words and pairs of words, and
-measures of the writing) and its metadata (source, language, length, scheme of lines).
-A logistic regression on each view learns from labelled documents; then, over rounds,
-each view labels the unlabelled documents that it is surest of, and the other view
-learns from them too. At the end both views are calibrated on held-out labels, which
-also decide how much each counts in the combined score. All documents are scored.
-
-Training uses a bounded sample: at most ``max_labelled`` labelled and ``max_pool``
-unlabelled documents, chosen by a hash of their ids; it is the only part on the driver.
-
-Null labels are unknown; of repeated labels of one id the worst counts. Null and empty
-texts are scored by their metadata and the bias. Repeated rows get equal scores. Without
-any labels every score is 0.5 and every document is kept.
+Two views of a document are kept apart: its text (hashed words and measures of the
+writing) and its metadata (source, language, length). A logistic regression on each view
+learns from labelled documents. Then, over rounds, each view scores all documents of the
+corpus; those without a label that it is surest of get its label, and the other view
+learns from them too. After each round both views are calibrated on held-out labels,
+which also decide how much each counts in the combined score, and at the end the round
+counts whose held-out loss is least (the first of equals). All documents are scored.
+
+Features are computed once, from whole texts, and written to the shared folder; rounds
+read them. On the driver are bounded numbers of rows only: ``max_labelled`` labelled ones,
+chosen by a hash of their ids, and ``max_pseudo`` pseudo-labelled ones for each target,
+view and round, the surest of the whole corpus.
+
+Null labels are unknown; of repeated labels of one id the worst counts. Of rows that share
+an id one is learned from. Equal scores are ordered by a hash of the id. Null and empty
+texts are scored by their metadata and the bias, texts of any length by all their words.
+Repeated rows get equal scores. Without any labels every score is 0.5 and every document
+is kept; an empty table of documents gives an empty table. Further columns of either
+table, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,19 +27,26 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.llm.common import Recent, arrow_map, resident
+from termloom.llm.common import Recent, arrow_map, cut, resident
 
 WORDS, MEASURES, META = 1 << 16, 64, 1 << 12
 DIMENSIONS = WORDS + MEASURES
-MAX_LABELLED, MAX_POOL = 6_000, 4_000
-ROUNDS = 3
-#: Share of the pool that a view labels in a round.
-SHARE = 0.05
+#: Labelled rows, and pseudo-labelled rows for each target, view and round, that are learned from at most.
+MAX_LABELLED, MAX_PSEUDO = 6_000, 400
+ROUNDS = 2
+#: A view is sure of a document whose probability is this far from one half.
+SURE = 0.4
 TARGETS = ("quality", "toxic")
-SPACES = b" \t\n\r\x0b\x0c"
+UPPER, DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
+
+
+def share(raw: bytes, of: bytes) -> float:
+    """The share of a text's bytes that are among others."""
+    return 1 - len(raw.translate(None, of)) / len(raw)
+
 
 def feature_of(word: bytes) -> int:
     return zlib.crc32(word.strip(b".,;:!?\"'()[]{}<>|*#$%&")) % WORDS
@@ -54,9 +67,7 @@ def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     symbols = sum(map(text.count, "#*$%&|<>")) / n
     lines = text.split("\n")
     repeated = 1 - len(set(lines)) / len(lines)
-    upper = sum(1 for b in raw if 65 <= b <= 90) / chars if chars < 4096 else sum(1 for b in raw[:: chars // 2048] if 65 <= b <= 90) / 2048
-    digits = 1 - len(raw.translate(None, b"0123456789")) / len(raw)
-    measures = (np.log1p(n) / 10, (chars - n) / n / 10, distinct, min(symbols, 4) / 2, repeated, upper, digits, len(lines) / n)
+    measures = (np.log1p(n) / 10, (chars - n) / n / 10, distinct, min(symbols, 4) / 2, repeated, share(raw, UPPER), share(raw, DIGITS), len(lines) / n)
     marks = [WORDS]
     for k, (value, edges) in enumerate(zip(measures, ((0.2, 0.3, 0.4, 0.5, 0.7), (0.2, 0.4, 0.6, 0.8), (0.2, 0.4, 0.6, 0.8), (0.01, 0.1, 0.25, 0.5), (0.05, 0.2, 0.5), (0.05, 0.2, 0.5), (0.01, 0.05, 0.2), (0.05, 0.2)), strict=True)):
         marks.append(WORDS + 1 + 6 * k + sum(value > e for e in edges))
@@ -74,12 +85,29 @@ def meta_features(source: str | None, lang: str | None, text: str | None) -> tup
 class Rows:
     """Sparse rows."""
 
-    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
-        sizes = np.array([len(i) for i, _ in parts], np.int64)
-        self.index = np.concatenate([i for i, _ in parts]) if parts else np.empty(0, np.int32)
-        self.values = np.concatenate([v for _, v in parts]).astype(np.float64) if parts else np.empty(0)
-        self.owner = np.repeat(np.arange(len(parts)), sizes)
-        self.n = len(parts)
+    def __init__(self, index: np.ndarray, values: np.ndarray, sizes: np.ndarray):
+        self.index, self.values, self.n = index, values, len(sizes)
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+
+
+def packed(text: str | None, source: str | None, lang: str | None) -> tuple[bytes, bytes, bytes, bytes]:
+    """words and their values, marks, and metadata features of a document, as bytes."""
+    index, values = text_features(text)
+    is_word = index < WORDS
+    meta, _ = meta_features(source, lang, text)
+    return index[is_word].astype("<u2").tobytes(), values[is_word].astype("<f2").tobytes(), (index[~is_word] - WORDS).astype("u1").tobytes(), meta.astype("<u2").tobytes()
+
+
+def unpacked(words: list[bytes], values: list[bytes], marks: list[bytes], meta: list[bytes]) -> tuple[Rows, Rows]:
+    """The rows of both views."""
+    n_words, n_marks = (np.array([len(x) for x in part], np.int64) for part in (words, marks))
+    n_words //= 2
+    index = np.concatenate([np.frombuffer(b"".join(words), "<u2").astype(np.int64), np.frombuffer(b"".join(marks), "u1").astype(np.int64) + WORDS])
+    weight = np.concatenate([np.frombuffer(b"".join(values), "<f2").astype(float), np.ones(int(n_marks.sum()))])
+    text = Rows(index, weight, np.zeros(len(words), np.int64))
+    text.owner = np.concatenate([np.repeat(np.arange(len(words)), n) for n in (n_words, n_marks)])
+    flat = np.frombuffer(b"".join(meta), "<u2").astype(np.int64)
+    return text, Rows(flat, np.ones(len(flat)), np.array([len(x) // 2 for x in meta], np.int64))
 
 
 @dataclass
@@ -89,10 +117,6 @@ class View:
     scale: np.ndarray
     weights: np.ndarray
 
-    def score(self, index: np.ndarray, values: np.ndarray) -> float:
-        x = self.scale[index] * values
-        return float(self.weights[index] @ x) / max(1.0, float(np.sqrt(x @ x)))
-
     def scores(self, rows: Rows) -> np.ndarray:
         x = self.scale[rows.index] * rows.values
         norm = np.maximum(1.0, np.sqrt(np.bincount(rows.owner, weights=x * x, minlength=rows.n)))
@@ -149,94 +173,158 @@ class Model:
     meta: View
     mix: np.ndarray
 
-    def probability(self, text: tuple[np.ndarray, np.ndarray], meta: tuple[np.ndarray, np.ndarray]) -> float:
-        return float(sigmoid(self.mix[0] * self.text.score(*text) + self.mix[1] * self.meta.score(*meta) + self.mix[2]))
-
-
-def co_train(text: Rows, meta: Rows, labels: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, share: float = SHARE) -> Model:
-    """labels: 0, 1, or -1 for unlabelled; held: labelled rows that only calibrate."""
-    views = ((text, DIMENSIONS, slice(WORDS, None)), (meta, META, slice(0, None)))
-    known = (labels >= 0) & ~held
-    base = labels[known].mean() if known.any() else 0.5
-    targets = [np.where(known, labels, 0).astype(float) for _ in views]
-    weights = [known.astype(float) for _ in views]
-    free = labels < 0
-    for turn in range(rounds + 1):
-        models = [fit(rows, t, w, size, kept) for (rows, size, kept), t, w in zip(views, targets, weights, strict=True)]
-        if turn == rounds or not free.any():
-            break
-        for k, (rows, _, _) in enumerate(views):
-            p = sigmoid(models[k].scores(rows))
-            open_rows = np.flatnonzero(free & (weights[1 - k] == 0))
-            order = open_rows[np.argsort(p[open_rows], kind="stable")]
-            most = max(1, int(share * free.sum()))
-            # As many of each class as the labels have, and only such as the view is sure of.
-            low = [i for i in order[: round(most * (1 - base))] if p[i] < 0.1]
-            high = [i for i in order[max(0, len(order) - round(most * base)) :] if p[i] > 0.9]
-            for own, label in ((low, 0.0), (high, 1.0)):
-                targets[1 - k][own] = label
-                weights[1 - k][own] = 0.5
-    check = np.flatnonzero(held & (labels >= 0))
-    scores = np.column_stack([m.scores(rows) for (rows, _, _), m in zip(views, models, strict=True)])
-    mix = calibrate(scores[check], labels[check]) if len(check) >= 10 else np.array([0.5, 0.5, 0.0])
-    return Model(models[0], models[1], mix)
-
-
-def sample_rows(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int):
-    """(doc_id, text features, metadata features, quality, toxic) of the sample, features as packed bytes."""
-    agreed = labels.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
-    by_hash = F.xxhash64("doc_id", F.lit(7))
-    # Both are bounded by the parameters, so they may be broadcast.
-    labelled = agreed.orderBy(by_hash, "doc_id").limit(max_labelled)
-    pool = docs.select("doc_id").join(agreed.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(by_hash, "doc_id").limit(max_pool)
-    chosen = labelled.unionByName(pool.select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic")))
-    source = docs.join(F.broadcast(chosen), "doc_id")
+    def scores(self, text: Rows, meta: Rows) -> np.ndarray:
+        return np.column_stack([self.text.scores(text), self.meta.scores(meta)])
+
+    def probabilities(self, text: Rows, meta: Rows) -> np.ndarray:
+        return sigmoid(self.scores(text, meta) @ self.mix[:2] + self.mix[2])
+
+
+FEATURES = (("doc_id", "bigint"), ("words", "binary"), ("values", "binary"), ("marks", "binary"), ("meta", "binary"))
+PARTS = [name for name, _ in FEATURES[1:]]
+
+
+def features_of(docs: DataFrame) -> DataFrame:
+    """doc_id and the packed features of every row; a narrow plan."""
 
     def make():
         def block(columns):
-            ids, texts, langs, sources, quality, toxic = columns
-            own = [(text_features(t), meta_features(s, g, t)) for t, g, s in zip(texts, langs, sources, strict=True)]
-            pack = lambda k, j, kind: [x[k][j].astype(kind).tobytes() for x in own]
-            return [ids, pack(0, 0, "<i4"), pack(0, 1, "<f4"), pack(1, 0, "<i4"), pack(1, 1, "<f4"), quality, toxic]
+            ids, texts, langs, sources = columns
+            rows = [packed(t, s, g) for t, g, s in zip(texts, langs, sources, strict=True)]
+            return [ids, *(map(list, zip(*rows, strict=True)) if rows else [[]] * 4)]
 
         return block
 
-    schema = [("doc_id", "bigint"), ("ti", "binary"), ("tv", "binary"), ("mi", "binary"), ("mv", "binary"), ("quality", "int"), ("toxic", "int")]
-    return arrow_map(source.select("doc_id", "text", "lang", "source", "quality", "toxic"), make, schema).orderBy("doc_id", "ti").limit(max_labelled + max_pool)
+    return arrow_map(docs.select("doc_id", "text", "lang", "source"), make, FEATURES)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> dict[str, Model]:
-    rows = sample_rows(docs, labels, max_labelled, max_pool).collect()
-    text = Rows([(np.frombuffer(r.ti, "<i4"), np.frombuffer(r.tv, "<f4")) for r in rows])
-    meta = Rows([(np.frombuffer(r.mi, "<i4"), np.frombuffer(r.mv, "<f4")) for r in rows])
+def fetched(features: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row for each of the ids, a bounded number of them, that has one."""
+    return features.join(F.broadcast(ids), "doc_id").groupBy("doc_id", *[c for c in ids.columns if c != "doc_id"]).agg(F.min(F.struct(*PARTS)).alias("x")).select("doc_id", *[c for c in ids.columns if c != "doc_id"], "x.*")
+
+
+def scored_by(features: DataFrame, score, names: list[str]) -> DataFrame:
+    """doc_id and the columns that score(text rows, metadata rows) gives for every row; a narrow plan."""
+
+    def make():
+        def block(columns):
+            ids, *parts = columns
+            return [ids, *(score(*unpacked(*parts)) if ids else [[]] * len(names))]
+
+        return block
+
+    return arrow_map(features, make, [("doc_id", "bigint"), *((name, "double") for name in names)], rows=2048)
+
+
+class Learner:
+    """One target's two views, what each learns from, and the best model so far."""
+
+    def __init__(self, name: str, parts: list[tuple[bytes, ...]], labels: np.ndarray, held: np.ndarray):
+        self.name, self.parts, self.held = name, [p for p, k in zip(parts, labels >= 0, strict=True) if k], held[labels >= 0]
+        self.labels = labels[labels >= 0].astype(float)
+        self.more: tuple[list[tuple[tuple[bytes, ...], float]], ...] = ([], [])  # pseudo-labelled rows by the view that learns from them
+        self.best: tuple[float, Model | None] = (float("inf"), None)
+        self.base = float(self.labels[~self.held].mean()) if (~self.held).any() else 0.5
+
+    def fit(self) -> Model:
+        views = []
+        for k, (size, kept) in enumerate(((DIMENSIONS, slice(WORDS, None)), (META, slice(0, None)))):
+            rows = unpacked(*map(list, zip(*self.parts, *(p for p, _ in self.more[k]), strict=True)))[k]
+            labels = np.r_[self.labels, [y for _, y in self.more[k]]]
+            weights = np.r_[(~self.held).astype(float), np.full(len(self.more[k]), 0.5)]
+            views.append(fit(rows, labels, weights, size, kept))
+        model = Model(*views, np.array([0.5, 0.5, 0.0]))
+        if self.held.sum() >= 10:
+            scores = model.scores(*unpacked(*map(list, zip(*[p for p, h in zip(self.parts, self.held, strict=True) if h], strict=True))))
+            labels = self.labels[self.held]
+            model.mix = calibrate(scores, labels)
+            p = sigmoid(scores @ model.mix[:2] + model.mix[2]).clip(1e-9, 1 - 1e-9)
+            loss = -float(np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p)))
+        else:
+            loss = -float(len(self.more[0]) + len(self.more[1]))
+        if loss < self.best[0] - 1e-6:
+            self.best = loss, model
+        return model
+
+
+def surest(features: DataFrame, labelled: DataFrame, chosen: DataFrame, models: dict[str, Model], bases: dict[str, float], most: int) -> DataFrame:
+    """doc_id, target, view and label of the documents without a label that a view is surest of: for each target and view at most as many as most, by class as the labels are.
+
+    The corpus is scored by a narrow stage. Approximate percentiles, with room for their
+    error, leave few rows in question; only these are ordered.
+    """
+    names = [f"{target}_{view}" for target in models for view in (0, 1)]
+    shared = features.sparkSession.sparkContext.broadcast(models)
+
+    def score(text: Rows, meta: Rows) -> list[list[float]]:
+        return [sigmoid(x).tolist() for model in shared.value.values() for x in model.scores(text, meta).T]
+
+    scores = scored_by(features, score, names).join(labelled.select("doc_id"), "doc_id", "left_anti")
+    # Whole millionths of the probability, and a fraction by the id for an order among equals.
+    order = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    keyed = cut(scores.select("doc_id", *((F.floor(F.col(n) * 1e6) + order).alias(n) for n in names)))
+    n_rows = keyed.count()
+    wanted = {}
+    for target in models:
+        high = min(most - 1, max(1, round(most * bases[target])))
+        wanted[target] = most - high, high
+    accuracy = 10_000
+    limits = keyed.agg(*(F.percentile_approx(n, [min(1.0, 2 * w[0] / max(n_rows, 1) + 2 / accuracy), max(0.0, 1 - 2 * w[1] / max(n_rows, 1) - 2 / accuracy)], accuracy).alias(n) for n in names for w in [wanted[n.rsplit("_", 1)[0]]])).first()
+    parts = []
+    for name in names:
+        target, view = name.rsplit("_", 1)
+        if limits[name] is None:
+            continue
+        for label, count in enumerate(wanted[target]):
+            key = F.col(name) if label == 0 else -F.col(name)
+            near = F.col(name) <= min(limits[name][0], (0.5 - SURE) * 1e6) if label == 0 else F.col(name) >= max(limits[name][1], (0.5 + SURE) * 1e6)
+            parts.append(keyed.where(near).select("doc_id", F.lit(target).alias("target"), F.lit(int(view)).alias("view"), F.lit(label).alias("label"), key.alias("key"), F.lit(count).alias("most")))
+    if not parts:
+        return chosen.limit(0)
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    rows = rows.join(F.broadcast(chosen.select("doc_id", "target", "view")), ["doc_id", "target", "view"], "left_anti").distinct()
+    place = F.row_number().over(Window.partitionBy("target", "view", "label").orderBy("key", "doc_id"))
+    return rows.withColumn("place", place).where("place <= most").select("doc_id", "target", "view", "label")
+
+
+def train(features: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pseudo: int = MAX_PSEUDO, rounds: int = ROUNDS) -> dict[str, Model]:
+    spark = features.sparkSession
+    agreed = labels.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
+    sample = agreed.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_labelled)
+    rows = fetched(features, sample).orderBy("doc_id").collect()
+    parts = [tuple(bytes(r[p]) for p in PARTS) for r in rows]
     held = np.array([zlib.crc32(str(r.doc_id).encode()) % 4 == 0 for r in rows], bool)
-    found = {}
+    learners = {}
     for target in TARGETS:
         known = np.array([-1 if r[target] is None else int(r[target] > 0) for r in rows], int)
-        if len(rows) and (known >= 0).any():
-            found[target] = co_train(text, meta, known, held)
-    return found
+        if (known >= 0).any():
+            learners[target] = Learner(target, parts, known, held)
+    models = {t: learner.fit() for t, learner in learners.items()}
+    chosen = spark.createDataFrame([], "doc_id bigint, target string, view int, label int")
+    for _ in range(rounds if learners else 0):
+        ids = surest(features, agreed, chosen, models, {t: learner.base for t, learner in learners.items()}, max_pseudo).collect()
+        if not ids:
+            break
+        found = spark.createDataFrame([tuple(r) for r in ids], chosen.schema)
+        chosen = chosen.unionByName(found)
+        for r in fetched(features, found).orderBy("doc_id", "target", "view").collect():
+            learners[r.target].more[1 - r.view].append((tuple(bytes(r[p]) for p in PARTS), float(r.label)))
+        models = {t: learner.fit() for t, learner in learners.items()}
+    return {t: learner.best[1] for t, learner in learners.items()}
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, least_quality: float = 0.5, most_toxic: float = 0.5) -> DataFrame:
-    """doc_id, quality_score, toxic_score (probabilities) and kept of every row; scoring is one narrow stage."""
+def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pseudo: int = MAX_PSEUDO, rounds: int = ROUNDS, least_quality: float = 0.5, most_toxic: float = 0.5) -> DataFrame:
+    """doc_id, quality_score, toxic_score (probabilities) and kept of every row. No text is shuffled."""
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    own = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality", "toxic").where("doc_id IS NOT NULL")
-    trained = source.sparkSession.sparkContext.broadcast(train(source, own, max_labelled, max_pool))
+    own = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL")
+    features = cut(features_of(source))
+    trained = source.sparkSession.sparkContext.broadcast(train(features, own, max_labelled, max_pseudo, rounds))
 
-    def make():
+    def score(text: Rows, meta: Rows) -> list[list[float]]:
         models = trained.value
+        return [models[t].probabilities(text, meta).round(6).tolist() if t in models else [0.5] * text.n for t in TARGETS]
 
-        def block(columns):
-            ids, texts, langs, sources = columns
-            scores = {t: [0.5] * len(ids) for t in TARGETS}
-            for i, (text, lang, origin) in enumerate(zip(texts, langs, sources, strict=True)):
-                views = text_features(text), meta_features(origin, lang, text)
-                for target, model in models.items():
-                    scores[target][i] = round(model.probability(*views), 6)
-            return [ids, scores["quality"], scores["toxic"]]
-
-        return block
-
-    scored = arrow_map(source, make, [("doc_id", "bigint"), ("quality_score", "double"), ("toxic_score", "double")])
+    scored = scored_by(features, score, ["quality_score", "toxic_score"])
     return scored.withColumn("kept", (F.col("quality_score") >= least_quality) & (F.col("toxic_score") <= most_toxic))
