@@ -1,33 +1,45 @@
 """Main text of web pages by site template removal.
 
-Each page is read as a tree. The subtrees of its block elements are hashed (names of the
-elements and their text), the hashes are counted over the distinct pages of each host in
-Spark, and subtrees that recur on many pages of the host are deleted. What is left is
-freed from the elements that are furniture by their kind (navigation, headers, footers,
-asides, forms, scripts) or by the words of their class, id or role. Where a page marks
-its article, only the article counts, and of it only containers, never its paragraphs
+Each page is read once, as a tree. The subtrees of its block elements are hashed from the
+leaves up (an element's name, then its texts and the hashes of its children), the hashes
+are counted over the distinct pages of each host in Spark, and subtrees that recur on many
+pages of the host are deleted. So are slots: elements whose kind, role, class or id names
+furniture (``nav``, ``sidebar-box``) and that many pages of the host have, whatever is in them.
+
+What the counts leave is freed from furniture that is marked as such beyond doubt: elements of a kind
+(navigation, headers, footers, asides, forms, scripts), with a role, hidden, or with a class
+that can mean nothing else (``advert``, ``comments``). Other words in a class or id decide
+alone only where a host has too few pages to count, and never inside of an article: there
+they need a second sign, that half of the element's text or more is links. Where a page
+marks its article, only the article counts, and of it only containers, never its paragraphs
 and headings, may be deleted as templates: a passage that many articles quote stays.
 Comments, teasers and articles of which nothing is left do not mark a page's article.
 
-Null and empty pages have an empty text. Repeated pages count once for their host and
-have equal texts. A null url is a host of its own name "".
+Null and empty pages have an empty text; an empty table gives an empty table. Pages of any
+length and depth are read whole, in time proportional to their length, whether tags and
+quotes are closed or not. Repeated pages count once for their host and have equal texts. A
+null url is a host of its own name "". Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import re
 from html import unescape
+from itertools import accumulate
 
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import arrow_map, cut, release
+from termloom.llm.common import arrow_map, cut
 
 #: A subtree recurs if so many distinct pages of its host have it, and such a share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.1
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?>[^\"'>]+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>", re.S)
+#: A comment, a declaration, or a tag. Quotes count after an equals sign only; a tag of the last kind has quotes that never close and ends at the first >.
+COMMENT, NAME = r"<!--.*?(?:-->|\Z)|<[!?][^>]*>", r"<(/?)([A-Za-z][A-Za-z0-9:-]*)"
+PLAIN = re.compile(rf"{COMMENT}|{NAME}([^>]*)>", re.S)
+TOKEN = re.compile(rf"{COMMENT}|{NAME}((?:[^\"'>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>|{NAME}([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math".split())
@@ -40,9 +52,11 @@ TEASERS = frozenset(("teaser", "teasers", "related", "recommended"))
 ROOTS = frozenset(("html", "body", "article", "main"))
 FURNITURE = frozenset("head nav footer aside form button select menu dialog search label option fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe signup login search comment comments disqus replies respond reactions share sharing social related recommended footer masthead pagination pager widget toolbar copyright".split()
-)
+#: Classes and ids that name furniture by themselves, and words that may name it.
+CERTAIN = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo sidebar navbar breadcrumb breadcrumbs cookie cookies consent gdpr popup modal overlay newsletter subscribe comments disqus replies masthead pagination pager".split())
+HINTS = CERTAIN | frozenset("promotion banner menu nav navigation notice notification signup login search comment respond reactions share sharing social related recommended footer widget toolbar copyright".split())
+#: Share of links in the text of an element that is the second sign inside of an article.
+LINKS = 0.5
 #: An end tag that may be left out: what starts ends what is open.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LIST_SCOPE = frozenset("ul ol menu dl table tbody thead tfoot select".split())
@@ -50,29 +64,70 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 class Element:
-    __slots__ = ("digest", "drop", "first", "in_article", "name")
+    __slots__ = ("at_chars", "at_links", "digest", "drop", "first", "hinted", "in_article", "name", "protected", "slot")
 
-    def __init__(self, name, drop, in_article, first, hashed):
-        self.name, self.drop, self.in_article, self.first = name, drop, in_article, first
-        protected = name in ROOTS or in_article and name in PARAGRAPHS
-        self.digest = xxhash.xxh64(name.encode()) if hashed and not protected else None
+    def __init__(self, name, drop, in_article, first, hinted, slot, page):
+        self.name, self.drop, self.in_article, self.first, self.hinted, self.slot = name, drop, in_article, first, hinted, slot
+        self.protected = name in ROOTS or in_article and name in PARAGRAPHS
+        self.digest = xxhash.xxh64(name.encode())
+        self.at_chars, self.at_links = page.chars, page.link_chars
 
 
-def class_names(attributes: str) -> frozenset[str]:
-    found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)}
-    return frozenset(found.get("class", "").split())
+def attributes_of(raw: str) -> dict[str, str]:
+    return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)} if raw and not raw.isspace() else {}
+
+
+def judged(name: str, own: dict[str, str], in_article: bool) -> tuple[bool, bool]:
+    """(the element is furniture, words of its class or id hint at furniture)."""
+    if name in ROOTS:
+        return False, False
+    if name in FURNITURE or name == "header" and not in_article:
+        return True, False
+    if not own:
+        return False, False
+    if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or "display:none" in own.get("style", "").lower().replace(" ", "") or own.get("role", "").lower() in ROLES:
+        return True, False
+    names = own.get("class", "").split() + own.get("id", "").split()
+    if any(n.lower() in CERTAIN for n in names):
+        return True, False
+    words = {w.lower() for n in names for w in WORDS(CAMEL(r"\1 \2", n))}
+    return False, bool(words & HINTS) or "header" in words and not in_article
+
+
+WORDS, CAMEL = re.compile(r"[A-Za-z0-9]+").findall, re.compile(r"([a-z])([A-Z])").sub
+
+
+def signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
 
 
 class Page:
-    """The blocks of text of a page in order, and the subtrees that may be a template's."""
+    """The blocks of text of a page in order, and the subtrees and slots that may be a template's."""
 
-    def __init__(self, html: str, hashed: bool = True):
-        self.hashed = hashed
-        self.blocks: list[tuple[str, bool, bool]] = []  # text, of furniture, in an article
+    def __init__(self, html: str):
+        self.texts: list[str] = []
+        self.dropped: list[bool] = []
+        self.inside: list[bool] = []  # of an article
         self.subtrees: list[tuple[int, int, int]] = []  # hash, first block, block after the last
+        self.slots: list[tuple[int, int, int]] = []
+        self.linked: list[tuple[int, int]] = []  # blocks of hinted elements in an article that are links above all
         self.stack: list[Element] = []
+        self.open: list[dict[str, int]] = [{}]  # open elements by name, inside of each list or table
+        self.every: dict[str, int] = {}
         self.text: list[str] = []
+        self.chars = self.link_chars = 0
+        self.in_link = False
         self.read(html)
+        for first, end in self.linked:
+            self.dropped[first:end] = [True] * (end - first)
+
+    def say(self, text: str) -> None:
+        if text:
+            self.text.append(text)
+            n = len(text) if text.isalnum() else len("".join(text.split()))
+            self.chars += n
+            if self.in_link:
+                self.link_chars += n
 
     def flush(self) -> None:
         if self.text:
@@ -80,108 +135,127 @@ class Page:
             self.text.clear()
             if text:
                 top = self.stack[-1] if self.stack else None
-                self.blocks.append((text, bool(top and top.drop), bool(top and top.in_article)))
-                raw = text.encode()
-                for element in self.stack:
-                    if element.digest is not None:
-                        element.digest.update(raw)
-                        element.digest.update(b"\0")
+                self.texts.append(text)
+                self.dropped.append(bool(top and top.drop))
+                self.inside.append(bool(top and top.in_article))
+                if top:
+                    top.digest.update(text.encode(errors="replace") + b"\0")
 
     def pop(self) -> None:
         self.flush()
         element = self.stack.pop()
-        if element.digest is not None and len(self.blocks) > element.first:
-            value = element.digest.intdigest()
-            self.subtrees.append((value - (1 << 64) if value >> 63 else value, element.first, len(self.blocks)))
-
-    def close(self, names, scope=frozenset()) -> None:
-        """End the innermost open element of these names, and all within; not beyond scope."""
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k].name in names:
-                while len(self.stack) > k:
-                    self.pop()
-                return
-            if self.stack[k].name in scope:
-                return
+        self.every[element.name] -= 1
+        if element.name in LIST_SCOPE:
+            self.open.pop()
+        self.open[-1][element.name] -= 1
+        value, end = element.digest.intdigest(), len(self.texts)
+        if self.stack:
+            self.stack[-1].digest.update(value.to_bytes(8, "little"))
+        if end == element.first or element.drop and self.stack and self.stack[-1].drop:
+            return
+        if not element.protected:
+            self.subtrees.append((signed(value), element.first, end))
+        if element.slot:
+            self.slots.append((element.slot, element.first, end))
+        elif element.hinted and self.link_chars - element.at_links >= LINKS * (self.chars - element.at_chars) and not (self.linked and self.linked[-1][0] <= element.first < self.linked[-1][1]):
+            while self.linked and self.linked[-1][0] >= element.first:
+                self.linked.pop()  # those inside
+            self.linked.append((element.first, end))
+
+    def close(self, names, scoped: bool = False) -> None:
+        """End the innermost open element of these names, and all within; if scoped, not beyond the innermost list or table."""
+        there = self.open[-1] if scoped else self.every
+        if any(there.get(name) for name in names):
+            while True:
+                name = self.stack[-1].name
+                self.pop()
+                if name in names:
+                    return
 
     def start(self, name: str, attributes: str) -> None:
         self.flush()
         if name in CLOSES:
-            self.close(CLOSES[name], LIST_SCOPE)
+            self.close(CLOSES[name], True)
         elif self.stack and self.stack[-1].name == "p":
             self.pop()
-        for element in self.stack:
-            if element.digest is not None:
-                element.digest.update(name.encode() + b"<")
         parent = self.stack[-1] if self.stack else None
-        classes = class_names(attributes) if name == "article" and attributes else frozenset()
+        own = attributes_of(attributes)
+        classes = set(own.get("class", "").lower().split()) if name == "article" else set()
         in_article = name in LANDMARKS and not classes & (COMMENTS | TEASERS) or bool(parent and parent.in_article)
-        drop = bool(parent and parent.drop) or bool(classes & COMMENTS) or self.is_furniture(name, attributes, in_article)
-        self.stack.append(Element(name, drop, in_article, len(self.blocks), self.hashed))
-
-    @staticmethod
-    def is_furniture(name: str, attributes: str, in_article: bool) -> bool:
-        if name in ROOTS:
-            return False
-        if name in FURNITURE or name == "header" and not in_article:
-            return True
-        if not attributes or attributes.isspace():
-            return False
-        found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)}
-        if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
-            return True
-        if found.get("role") in ROLES:
-            return True
-        words = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", found.get("class", "")) + " " + found.get("id", "")))
-        return bool(words & HINTS) or "header" in words and not in_article
+        furniture, hinted = judged(name, own, in_article)
+        drop = bool(parent and parent.drop) or bool(classes & COMMENTS) or furniture
+        slot = signed(xxhash.xxh64_intdigest(f"{name} {own.get('class', '')} {own.get('id', '')}".encode(errors="replace"), seed=1)) if furniture or hinted and not in_article else 0
+        self.stack.append(Element(name, drop, in_article, len(self.texts), hinted, slot, self))
+        self.open[-1][name] = self.open[-1].get(name, 0) + 1
+        self.every[name] = self.every.get(name, 0) + 1
+        if name in LIST_SCOPE:
+            self.open.append({})
 
     def read(self, html: str) -> None:
-        at = 0
+        at, last = 0, html.rfind(">") + 1  # beyond, no tag can end
         lower = None
         search = TOKEN.search
         while True:
-            m = search(html, at)
+            m = search(html, at, last) if at < last else None
             if m is None:
-                self.text.append(html[at:])
+                comment = html.find("<!--", max(at, last))
+                self.say(html[at : comment if comment >= 0 else len(html)])
                 break
             if m.start() > at:
-                self.text.append(html[at : m.start()])
+                self.say(html[at : m.start()])
             at = m.end()
-            name = m[2] or m[5]
-            if name is None:
+            name = m[2]
+            if name is None and m.re is TOKEN and m[5]:
+                search = PLAIN.search  # quotes run to the end from here: they are ignored in what follows
+                end, name, attributes = m[4], m[5], m[6]
+            elif name is not None:
+                end, attributes = m[1], m[3]
+            else:
+                if at == last and m[0].startswith("<!--") and not m[0].endswith("-->"):
+                    break  # never ends
                 continue
             name = name.lower()
-            if m[1] or m[4]:
-                if name in BLOCK:
+            if end:
+                if name == "a":
+                    self.in_link = False
+                elif name in BLOCK:
                     self.flush()
                     self.close((name,))
                 continue
-            attributes = m[3] or m[6] or ""
             if name in RAW:
                 if not attributes.endswith("/"):
                     lower = lower if lower is not None else ascii_lower(html)
-                    end = lower.find(f"</{name}", at)
-                    close = html.find(">", end) if end >= 0 else -1
-                    at = close + 1 if close >= 0 else len(html)
-                continue
-            if name in BLOCK:
-                if name == "hr":
-                    self.flush()
-                else:
-                    self.start(name, attributes)
+                    close = lower.find(f"</{name}", at)
+                    stop = html.find(">", close) if close >= 0 else -1
+                    at = stop + 1 if stop >= 0 else len(html)
+            elif name == "hr":
+                self.flush()
+            elif name in BLOCK:
+                self.start(name, attributes)
             elif name == "br":
                 self.text.append(" ")
+            elif name == "a":
+                self.in_link = True
         self.flush()
         while self.stack:
             self.pop()
 
-    def main_text(self, deleted: frozenset[int]) -> str:
-        gone = [drop for _, drop, _ in self.blocks]
-        for value, first, end in self.subtrees:
-            if value in deleted:
-                gone[first:end] = [True] * (end - first)
-        article = any(inside and not no for (_, _, inside), no in zip(self.blocks, gone, strict=True))
-        return "\n".join([text for (text, _, inside), no in zip(self.blocks, gone, strict=True) if not no and (inside or not article)])
+    def main_text(self, deleted=frozenset()) -> str:
+        flags = [drop + 2 * inside for drop, inside in zip(self.dropped, self.inside, strict=True)]
+        found = [*self.subtrees, *self.slots]
+        return main_text(self.texts, flags, [h for h, _, _ in found], [x for _, *span in found for x in span], deleted)
+
+
+def main_text(texts: list[str], flags: list[int], hashes: list[int], spans: list[int], deleted) -> str:
+    """The text of the blocks that are left. flags: 1 for furniture, 2 in an article; spans: first block and block after the last of each hash."""
+    depth = [0] * (len(texts) + 1)
+    for k, value in enumerate(hashes):
+        if value in deleted:
+            depth[spans[2 * k]] += 1
+            depth[spans[2 * k + 1]] -= 1
+    left = [not flag & 1 and not d for flag, d in zip(flags, accumulate(depth))]
+    article = any(keep and flag & 2 for keep, flag in zip(left, flags))
+    return "\n".join([text for text, keep, flag in zip(texts, left, flags) if keep and (flag & 2 or not article)])
 
 
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -198,42 +272,56 @@ def sources(pages: DataFrame, id_column: str, url_column: str, html_column: str)
     return pages.select(F.col(id_column).cast("bigint").alias("page_id"), url.alias("url"), html.alias("html"), F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1)).alias("host"), F.md5(html).alias("digest"))
 
 
-def deletions(source: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """host, digest and the hashes of the page's subtrees that recur on its host.
+PARSED = (("page_id", "bigint"), ("url", "string"), ("host", "string"), ("digest", "string"), ("texts", "array<string>"), ("flags", "array<int>"), ("hashes", "array<bigint>"), ("spans", "array<int>"), ("n_subtrees", "int"))
 
-    Counts are partial aggregations, so a host with most of the pages leaves each task
-    as one row per subtree.
-    """
+
+def parsed_pages(source: DataFrame) -> DataFrame:
+    """Every page read once: its blocks, and the hashes of its subtrees, then of its slots, with the blocks that they span."""
 
     def make():
         def block(columns):
-            return [columns[0], columns[1], [sorted({h for h, _, _ in Page(html).subtrees}) for html in columns[2]]]
+            rows = []
+            for html in columns[2]:
+                page = Page(html)
+                found = [*page.subtrees, *page.slots]
+                rows.append((page.texts, [d + 2 * i for d, i in zip(page.dropped, page.inside, strict=True)], [h for h, _, _ in found], [x for _, *span in found for x in span], len(page.subtrees)))
+            parts = list(map(list, zip(*rows, strict=True))) if rows else [[]] * 5
+            return [columns[0], columns[1], columns[3], columns[4], *parts]
 
         return block
 
-    hashed = arrow_map(source.select("host", "digest", "html"), make, [("host", "string"), ("digest", "string"), ("hashes", "array<bigint>")], rows=64)
-    distinct = cut(hashed.dropDuplicates(["host", "digest"]))
-    own = distinct.select("host", "digest", F.explode("hashes").alias("hash"))
+    return arrow_map(source.select("page_id", "url", "html", "host", "digest"), make, PARSED, rows=64)
+
+
+def deletions(parsed: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+    """host, digest and the hashes of the page's subtrees and slots that recur on its host; on a host of fewer than min_pages pages, all its slots.
+
+    Counts are partial aggregations, so a host with most of the pages leaves each task
+    as one row per subtree.
+    """
+    is_slot = F.transform(F.array_distinct("hashes"), lambda h: F.struct(h.alias("hash"), (F.array_position("hashes", h) > F.col("n_subtrees")).alias("slot")))
+    distinct = cut(parsed.select("host", "digest", is_slot.alias("found")).dropDuplicates(["host", "digest"]))
+    own = distinct.select("host", "digest", F.inline("found"))
     sizes = distinct.groupBy("host").agg(F.count("*").alias("of"))
-    counted = own.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    templates = counted.join(sizes, "host").where(F.col("n") >= min_share * F.col("of")).select("host", "hash")
+    counted = own.groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("slot").alias("slot"))
+    recurs = (F.col("n") >= min_pages) & (F.col("n") >= min_share * F.col("of")) | F.col("slot") & (F.col("of") < min_pages)
+    templates = counted.where((F.col("n") >= min_pages) | F.col("slot")).join(sizes, "host").where(recurs).select("host", "hash")
     return own.join(templates, ["host", "hash"]).groupBy("host", "digest").agg(F.collect_list("hash").alias("deleted"))
 
 
 def extract_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """page_id, url, text and n_chars of every row."""
-    source = sources(pages, id_column, url_column, html_column)
-    lists = cut(deletions(source, min_pages, min_share))
-    release(pages.sparkSession)
+    """page_id, url, text, n_chars and n_deleted (subtrees and slots deleted by counts) of every row."""
+    parsed = cut(parsed_pages(sources(pages, id_column, url_column, html_column)))
+    lists = cut(deletions(parsed, min_pages, min_share))
     # The lists grow with the pages, so they are joined by a shuffle, which can be split where a page has many copies.
-    joined = source.join(lists.hint("merge"), ["host", "digest"], "left").select("page_id", "url", "html", "deleted")
+    joined = parsed.join(lists.hint("merge"), ["host", "digest"], "left").select("page_id", "url", "texts", "flags", "hashes", "spans", "deleted")
 
     def make():
         def block(columns):
-            ids, urls, htmls, deleted = columns
-            texts = [Page(h, bool(d)).main_text(frozenset(d or ())) for h, d in zip(htmls, deleted, strict=True)]
-            return [ids, urls, texts, [len(t) for t in texts]]
+            ids, urls, *parts = columns
+            texts = [main_text(*row, frozenset(d or ())) for *row, d in zip(*parts, strict=True)]
+            return [ids, urls, texts, [len(t) for t in texts], [len(d or ()) for d in parts[-1]]]
 
         return block
 
-    return arrow_map(joined, make, [("page_id", "bigint"), ("url", "string"), ("text", "string"), ("n_chars", "bigint")], rows=64)
+    return arrow_map(joined, make, [("page_id", "bigint"), ("url", "string"), ("text", "string"), ("n_chars", "bigint"), ("n_deleted", "bigint")], rows=256)
