@@ -1,22 +1,32 @@
 """Quality rules with tokeniser fertility.
 
-A public vocabulary measures each text: characters per token, the share of tokens that
-are byte fallbacks, and the entropy of its tokens (per token, as a share of the most
-that so many tokens could have). All words of the text count. Bands come from the corpus itself: for each language
-the quartiles over all texts that pass the base rules, widened by a multiple of their
-distance. A text outside a band of its language is rejected; languages outside the
-fixed list share the band of their script. Characters per token and entropy vary with
-length, so their bands are also per length class. Junk lowers the characters per token, and
-repetition the entropy. The width is set from the labels of the tables (README): 2 for
-these; the upper band of characters per token is wider, as no labelled junk is above it.
-
-Null and empty texts have no words and fail the base rules. Repeated rows are judged
-alike. A language with fewer than ``least`` passing texts takes the band of all.
+Public vocabularies measure each text: characters per token, the share of tokens that are
+byte fallbacks (byte pieces, or in a byte-level vocabulary tokens that hold only a part of a
+character), and the entropy of the tokens (per token, as a share of the most that so many
+tokens could have). All words of the text count. Bands come from the corpus itself: for each
+language the quartiles over all texts that pass the base rules, widened by a multiple of
+their distance. Languages outside the fixed list, and those with fewer than ``least``
+passing texts, have the band of their script, which is that of most letters of the whole
+text; where a script has as few, nothing is rejected. Characters per token and entropy vary
+with length, so their bands are also per length class, where a class has enough texts.
+
+A text goes if one of the three measures is outside of its band for every vocabulary. The
+width is set from the labels of the tables (README); the upper band of characters per token
+is wider, as no labelled junk is above it.
+
+Null and empty texts have no words and fail the base rules; an empty table gives an empty
+table. Texts of any length are read whole. Repeated rows are judged alike. Of scripts with
+equally many letters the first in the order of code points counts; a value on a band's edge
+is inside. Further columns, whatever their names, are not read. A null language is one
+outside the fixed list.
 """
 
 from __future__ import annotations
 
+import base64
 import re
+from bisect import bisect_right
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,7 +43,8 @@ SCRIPTS = ((0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x590, "hebre
 CACHE_ENTRIES = 200_000
 MOST_CLASS = 20
 WORD_LINE = re.compile(r"[^\x20\x09-\x0D]").search
-LETTER = re.compile(r"[^\W\d_]").search
+ASCII_LETTER = re.compile(r"[A-Za-z]").search
+STARTS = [first for first, _ in SCRIPTS]
 
 
 def base_measures(text: str | None, words: list[bytes]) -> tuple[int, int, int, int, int]:
@@ -79,22 +90,50 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def script_of(text: str) -> str:
-    """The script of the middle letter of up to 33 letters spread evenly over the text."""
-    letters = [c for c in text[:: max(1, len(text) // 64)] if LETTER(c)][:33]
-    if not letters:
-        return "none"
-    middle = ord(sorted(letters)[len(letters) // 2])
-    return next(name for first, name in reversed(SCRIPTS) if middle >= first)
+    """The script of most letters of the text."""
+    if text.isascii():
+        return "latin" if ASCII_LETTER(text) else "none"
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    plain = codes | 32
+    counts = {"latin": int(((plain >= 97) & (plain <= 122) & (codes < 128)).sum())}
+    for code, n in zip(*(x.tolist() for x in np.unique(codes[codes >= 128], return_counts=True)), strict=True):
+        if chr(code).isalpha():
+            name = SCRIPTS[bisect_right(STARTS, code) - 1][1]
+            counts[name] = counts.get(name, 0) + n
+    order = [name for _, name in SCRIPTS]
+    most = max(counts.values())
+    return min((name for name, n in counts.items() if n == most), key=order.index) if most else "none"
+
+
+def piece_model(path: str):
+    """encode(words) of a vocabulary of pieces, and which of its ids are byte fallbacks."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return model.encode, np.array([model.is_byte(i) for i in range(model.get_piece_size())])
+
+
+def rank_model(path: str):
+    """The same of a byte-level vocabulary of ranks; words are encoded as after a space, without being split further."""
+    import tiktoken
+
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+    model = tiktoken.Encoding(path, pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    fallback = np.zeros(max(ranks.values()) + 1, bool)
+    for token, rank in ranks.items():
+        try:
+            token.decode()
+        except UnicodeDecodeError:
+            fallback[rank] = True
+    return lambda words: [model.encode_ordinary(f" {w}") for w in words], fallback
 
 
 class Vocabulary:
     """Tokenises words one by one, each as after a space, and keeps the ids of recent words."""
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
-        import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
+        self.encode, self.byte = (piece_model if path.endswith(".model") else rank_model)(path)
         self.entries = entries
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -107,7 +146,7 @@ class Vocabulary:
             self.new[word] = self.old[word]
             missing.discard(word)
         words = list(missing)
-        for word, ids in zip(words, self.model.encode([w.decode(errors="replace") for w in words]), strict=True):
+        for word, ids in zip(words, self.encode([w.decode(errors="replace") for w in words]), strict=True):
             self.new[word] = np.array(ids, np.int32).tobytes()
 
     def ids(self, words: list[bytes]) -> np.ndarray:
@@ -124,32 +163,41 @@ class Vocabulary:
         return n_chars / n, float(self.byte[ids].mean()), entropy / float(np.log2(n)) if n > 1 else 0.0
 
 
-def vocabulary(path: str) -> Vocabulary:
-    return resident(__name__, path, lambda: Vocabulary(path))
+def vocabularies(paths: tuple[str, ...]) -> list[Vocabulary]:
+    return resident(__name__, paths, lambda: [Vocabulary(path, CACHE_ENTRIES // len(paths)) for path in paths])
+
+
+KINDS = ("chars_per_token", "fallback_share", "token_entropy")
+
+
+def measure_names(k: int) -> tuple[str, ...]:
+    """The columns of a vocabulary: the first one's have no number."""
+    return tuple(name if k == 0 else f"{name}_{k + 1}" for name in KINDS)
 
 
-def measures(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """One row per document: the base measures, the band's name and the three of the vocabulary. A narrow plan."""
+def measures(docs: DataFrame, paths: tuple[str, ...], id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """One row per document: the base measures, its language if that is a fixed one, its script and the three of each vocabulary. A narrow plan."""
 
     def make():
-        model = vocabulary(path)
+        models = vocabularies(paths)
         own = frozenset(LANGUAGES)
 
         def block(columns):
             ids, texts, langs = columns
             rows = []
             split = [t.encode().split() if t else [] for t in texts]
-            model.learn(split)
+            for model in models:
+                model.learn(split)
             for text, words, lang in zip(texts, split, langs, strict=True):
                 base = base_measures(text, words)
-                group = lang if lang in own else f"script {script_of(text or '')}"
-                rows.append((*base, group, *model.fertility(words, base[1])))
-            return [ids, *(map(list, zip(*rows, strict=True)) if rows else [[]] * 9)]
+                rows.append((*base, lang if lang in own else None, script_of(text or ""), *(x for m in models for x in m.fertility(words, base[1]))))
+            return [ids, *(map(list, zip(*rows, strict=True)) if rows else [[]] * (7 + 3 * len(models)))]
 
         return block
 
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"))
-    schema = [(id_column, "bigint"), ("n_words", "bigint"), ("word_chars", "bigint"), ("n_symbols", "bigint"), ("n_dup_lines", "bigint"), ("n_repeat_words", "bigint"), ("band", "string"), ("chars_per_token", "double"), ("fallback_share", "double"), ("token_entropy", "double")]
+    schema = [(id_column, "bigint"), ("n_words", "bigint"), ("word_chars", "bigint"), ("n_symbols", "bigint"), ("n_dup_lines", "bigint"), ("n_repeat_words", "bigint"), ("language", "string"), ("script", "string")]
+    schema += [(name, "double") for k in range(len(paths)) for name in measure_names(k)]
     found = arrow_map(source, make, schema)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return found.withColumn("base_failed", failed)
@@ -160,47 +208,78 @@ def length_class(n_words):
     return F.least(F.floor(F.log2(F.greatest(n_words, F.lit(1)).cast("double"))), F.lit(MOST_CLASS)).cast("int")
 
 
-def limit_column(limits: dict, keys: tuple[str, ...], default: float):
-    """A column with the limit of a row's group; of all groups where its own is too small."""
-    column = F.lit(limits.get((None,) * len(keys), default))
-    if len(keys) == 2:  # a class of length over all bands comes before all lengths
-        for (band, size), value in limits.items():
-            if band is None and size is not None:
-                column = F.when(F.col(keys[1]) == size, F.lit(value)).otherwise(column)
-    for group, value in limits.items():
-        if None not in group:
-            same = [F.col(k) == g for k, g in zip(keys, group, strict=True)]
-            column = F.when(same[0] if len(same) == 1 else same[0] & same[1], F.lit(value)).otherwise(column)
-    return column
+GROUP = ("language", "script", "length_class")
+#: The sets of texts that a band is taken from, the first that has enough texts: what they have in common, and the measures that they serve (all, or those that vary with length too).
+SETS = (("language", "length_class"), ("language",), ("script", "length_class"), ("script",))
 
 
-def group_limits(measured: DataFrame, keys: tuple[str, ...], name: str, width: float, floor: float, least: int) -> dict:
-    """The median of each group, moved by width times its quartiles' distance (floor at least).
+def quartiles(measured: DataFrame, names: list[str]) -> list[dict]:
+    """For each of SETS the number of texts and the quartiles of the measures, by the set's values.
 
     Partial sketches are merged for a number of groups that the fixed lists of languages,
     scripts and length classes bound, so what reaches the driver is bounded too.
     """
-    quartiles = F.percentile_approx(name, [0.25, 0.5, 0.75], 2000).alias("q")
-    rows = measured.where(~F.col("base_failed")).cube(*keys).agg(F.count("*").alias("n"), quartiles).collect()
-    return {tuple(row[k] for k in keys): row.q[1] + width * max(row.q[2] - row.q[0], floor) for row in rows if row.n >= least}
+    found = []
+    passing = measured.where(~F.col("base_failed"))
+    rows = passing.groupingSets([[F.col(c) for c in own] for own in SETS], *GROUP).agg(F.grouping_id().alias("g"), F.count("*").alias("of"), *(F.percentile_approx(n, [0.25, 0.5, 0.75], 2000).alias(n) for n in names)).collect()
+    for own in SETS:
+        absent = sum(1 << (len(GROUP) - 1 - i) for i, c in enumerate(GROUP) if c not in own)
+        found.append({tuple(r[c] for c in own): r for r in rows if r.g == absent})
+    return found
+
+
+def limits(found: list[dict], group: dict, name: str, by_length: bool, least: int):
+    """The quartiles of the first set with enough texts that a group belongs to, None if there is none."""
+    for own, rows in zip(SETS, found, strict=True):
+        if ("length_class" in own) > by_length or group[own[0]] is None:
+            continue
+        row = rows.get(tuple(group[c] for c in own))
+        if row is not None and row.of >= least:
+            return row[name]
+    return None
+
+
+def band(q, low: float, high: float, floor: float) -> tuple[float, float]:
+    """The median less and plus multiples of the quartiles' distance, which is floor at least."""
+    if q is None:
+        return float("-inf"), float("inf")
+    wide = max(q[2] - q[0], floor)
+    return q[1] - low * wide, q[1] + high * wide
 
 
-def quality_rules(docs: DataFrame, path: str, width: float = 2.0, least: int = 30, upper_width: float = 4.0, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """One row per document with its measures, base_failed and kept.
+def quality_rules(docs: DataFrame, path: str | Sequence[str], width: float = 2.0, least: int = 30, upper_width: float = 4.0, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """One row per document with its measures, base_failed and kept; path names one vocabulary or several.
 
     The measures are written once to the checkpoint folder (numbers only, no texts) and
-    read again for the bands and for the verdicts. No row is shuffled.
+    read again for the bands and for the verdicts. No row is shuffled: bands are a table
+    of one row for each language, script and length class that there is, which the fixed
+    lists bound, so it is broadcast.
     """
-    measured = cut(measures(docs, path, id_column, text_column, lang_column).withColumn("length_class", length_class(F.col("n_words"))))
-    classes = ("band", "length_class")
-    fertile = group_limits(measured, classes, "chars_per_token", -width, 0.02, least)
-    too_fertile = group_limits(measured, classes, "chars_per_token", upper_width, 0.02, least)
-    fallback = group_limits(measured, ("band",), "fallback_share", width, 0.01, least)
-    entropy = group_limits(measured, classes, "token_entropy", -width, 0.02, least)
-    outside = (
-        (F.col("chars_per_token") < limit_column(fertile, classes, float("-inf")))
-        | (F.col("chars_per_token") > limit_column(too_fertile, classes, float("inf")))
-        | (F.col("fallback_share") > limit_column(fallback, ("band",), float("inf")))
-        | (F.col("token_entropy") < limit_column(entropy, classes, float("-inf")))
-    )
-    return measured.withColumn("kept", ~F.col("base_failed") & ~outside).drop("length_class")
+    paths = (path,) if isinstance(path, str) else tuple(path)
+    spark = docs.sparkSession
+    measured = cut(measures(docs, paths, id_column, text_column, lang_column).withColumn("length_class", length_class(F.col("n_words"))))
+    names = [name for k in range(len(paths)) for name in measure_names(k)]
+    found = quartiles(measured, names)
+    infinite = float("inf")
+    rows = []
+    for r in measured.select(*GROUP).distinct().collect():
+        group = {c: r[c] for c in GROUP}
+        row = [r[c] for c in GROUP]
+        for name in names:
+            kind = KINDS[names.index(name) % 3]
+            q = limits(found, group, name, kind != "fallback_share", least)
+            low, high = band(q, width, width if kind == "fallback_share" else upper_width, 0.01 if kind == "fallback_share" else 0.02)
+            row += [-infinite if kind == "fallback_share" else low, infinite if kind == "token_entropy" else high]
+        rows.append(tuple(row))
+    bounds = ", ".join(f"{n}_low double, {n}_high double" for n in names)
+    table = spark.createDataFrame(rows, f"of_language string, of_script string, of_class int, {bounds}")
+    same = F.col("language").eqNullSafe(F.col("of_language")) & (F.col("script") == F.col("of_script")) & (F.col("length_class") == F.col("of_class"))
+    outside = F.lit(False)
+    for kind in range(3):
+        by_all = F.lit(True)
+        for k in range(len(paths)):
+            name = measure_names(k)[kind]
+            by_all &= (F.col(name) < F.col(f"{name}_low")) | (F.col(name) > F.col(f"{name}_high"))
+        outside |= by_all
+    joined = measured.join(F.broadcast(table), same, "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(outside, F.lit(False))).select(*(c for c in measured.columns if c != "length_class"), "kept")

@@ -20,6 +20,9 @@ from termloom.llm.secret_scans import scan_secrets
 from termloom.llm.token_counts import token_counts
 from termloom.llm.warc import archive_round_trip
 
+#: The vocabularies that measure fertility.
+VOCABULARIES = ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -28,7 +31,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return quality_rules(table(spark, sf_dir, "documents"), [public_tokenizers.path(name) for name in VOCABULARIES])
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
