@@ -2,12 +2,16 @@
 
 From each rule's pattern a Boolean trigram query is derived: clauses of trigrams, one of
 which every match must contain whole. The index has the postings of the trigrams that
-the queries name, over lower-cased texts. A join with the clauses and a count of their
-trigrams intersects the postings; only the candidates are verified with the pattern.
-Patterns that need no trigram scan all texts.
-
-Spans are code points, ends exclusive. Null and empty texts have none. Repeated rows give
-repeated results; rows that share an id share candidates, which verification settles.
+the queries name; one pass over each lower-cased text finds them all. A join with the
+clauses and a count of their trigrams intersects the postings; only the candidates are
+verified with the pattern. Patterns that need no trigram scan all texts.
+
+Spans are code points, ends exclusive; those that start together are ordered as their kinds
+are listed. Null and empty
+texts have none; an empty table gives an empty table. Texts of any length and with any
+number of matches are scanned whole. Repeated rows give repeated results; rows that share
+an id share candidates, which verification settles. Further columns, whatever their names,
+are not read.
 """
 
 from __future__ import annotations
@@ -143,6 +147,22 @@ def trigram_query(pattern: str) -> Clauses:
     return analyse(regex_parser.parse(pattern))[1]
 
 
+def escaped(c: str) -> str:
+    return c if c.isalnum() else f"\\x{{{ord(c):x}}}"
+
+
+def any_of(named: list[str]) -> str:
+    """A pattern of the trigrams that shares their beginnings, so that a position is tried against few of them."""
+    tree: dict[str, dict[str, list[str]]] = {}
+    for x, y, z in sorted(named):
+        tree.setdefault(x, {}).setdefault(y, []).append(z)
+
+    def one(letters: list[str]) -> str:
+        return f"[{''.join(escaped(c) for c in letters)}]"
+
+    return "|".join(f"{escaped(x)}(?:{'|'.join(escaped(y) + one(z) for y, z in own.items())})" for x, own in tree.items())
+
+
 def candidates(source: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
     """id and rules (at most one entry per rule) of the texts that satisfy a query; None if no rule has one."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) != ANYTHING}
@@ -153,31 +173,55 @@ def candidates(source: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
     spark = source.sparkSession
     # As large as the rules, whatever the texts.
     wanted = F.broadcast(spark.createDataFrame(clauses, "rule string, clause int, trigram string, needs int"))
-    names = F.array(*map(F.lit, named))
-    present = F.transform(F.array(F.lower("text")), lambda text: F.filter(names, lambda t: F.contains(text, t)))[0]
+    # Looked for ahead of each position, so that overlapping ones are found too.
+    present = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"(?=({any_of(named)}))"), F.lit(1)))
     postings = source.select("id", F.explode(present).alias("trigram"))
     whole = postings.distinct().join(wanted, "trigram").groupBy("id", "rule", "clause", "needs").agg(F.count("*").alias("n")).where("n = needs")
     return whole.groupBy("id").agg(F.collect_set("rule").alias("rules"))
 
 
+def running(items: Column, size: Column) -> Column:
+    """Items of array<struct<gap, n, good>> with their starts added up: array<struct<start, stop, good>>.
+
+    A fold that carries the list copies it at each item, so lists are folded in pieces of
+    about the root of their length: first in each piece, then over the pieces' totals.
+    """
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(size)).cast("int"))
+    number = F.ceil(size / width).cast("int")
+    kind = "array<struct<start:bigint,stop:bigint,good:boolean>>"
+
+    def inside(piece: Column) -> Column:
+        def step(state: Column, x: Column) -> Column:
+            begin = state["at"] + x["gap"]
+            own = F.struct(begin.alias("start"), (begin + x["n"]).alias("stop"), x["good"].alias("good"))
+            return F.struct((begin + x["n"]).alias("at"), F.array_append(state["found"], own).alias("found"))
+
+        return F.aggregate(piece, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("found")), step)
+
+    def before(state: Column, piece: Column) -> Column:
+        return F.struct((state["at"] + piece["at"]).alias("at"), F.array_append(state["starts"], state["at"]).alias("starts"))
+
+    def whole(pieces: Column) -> Column:
+        starts = F.aggregate(pieces, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("starts")), before)["starts"]
+        moved = F.zip_with(pieces, starts, lambda piece, at: F.transform(piece["found"], lambda x: F.struct((x["start"] + at).alias("start"), (x["stop"] + at).alias("stop"), x["good"].alias("good"))))
+        return F.flatten(moved)
+
+    cut_up = F.transform(F.sequence(F.lit(0), number - 1), lambda k: inside(F.slice(items, k * width + 1, width)))
+    return F.when(size > 0, F.transform(F.array(cut_up), whole)[0]).otherwise(F.array().cast(kind))
+
+
 def spans(rule: Rule, text: Column) -> Column:
     """array<struct<start, stop>> of the rule's matches: lengths of the text between the matches and of the matches, added up."""
     pattern = F.lit(rule.pattern)
     found = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits"), F.split(text, rule.pattern, -1).alias("gaps"))
     good = (lambda m: F.length(F.regexp_extract(m, rule.pattern, rule.group)) >= rule.least) if rule.least else (lambda m: F.lit(True))
 
-    def add_up(both: Column) -> Column:
-        pairs = F.zip_with(F.slice(both["gaps"], F.lit(1), F.size(both["hits"])), both["hits"], lambda gap, hit: F.struct(F.length(gap).cast("bigint").alias("gap"), F.length(hit).cast("bigint").alias("n"), good(hit).alias("good")))
-        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"))
-
-        def step(state: Column, x: Column) -> Column:
-            begin = state["at"] + x["gap"]
-            own = F.array(F.struct(begin.alias("start"), (begin + x["n"]).alias("stop")))
-            return F.struct((begin + x["n"]).alias("at"), F.when(x["good"], F.concat(state["spans"], own)).otherwise(state["spans"]).alias("spans"))
-
-        return F.aggregate(pairs, start, step)["spans"]
+    def measured(both: Column) -> Column:
+        return F.zip_with(F.slice(both["gaps"], F.lit(1), F.size(both["hits"])), both["hits"], lambda gap, hit: F.struct(F.length(gap).cast("bigint").alias("gap"), F.length(hit).cast("bigint").alias("n"), good(hit).alias("good")))
 
-    return F.transform(F.array(found), add_up)[0]
+    items = F.transform(F.array(found), measured)
+    added = F.transform(items, lambda x: running(x, F.size(x)))[0]
+    return F.transform(F.filter(added, lambda x: x["good"]), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
 
 
 def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", more: tuple[Rule, ...] = MORE_RULES) -> DataFrame:
@@ -205,6 +249,6 @@ def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             return lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("k"), F.concat_ws(":", F.lit(rule.kind), s["start"].cast("string"), s["stop"].cast("string")).alias("name"))
 
         numbered = [F.transform(r.kind, named(r, k)) for k, r in enumerate(own)]
-        return F.array_join(F.transform(F.array_sort(F.concat(*numbered)), lambda x: x["name"]), ",")
+        return F.array_join(F.transform(F.sort_array(F.concat(*numbered)), lambda x: x["name"]), ",")
 
     return matched.select(F.col("id").alias(id_column), *(F.size(r.kind).cast("bigint").alias(f"n_{r.kind}") for r in BASE_RULES), F.sha2(text_of(BASE_RULES), 256).alias("base_sha256"), text_of(rules).alias("spans"))
