@@ -6,9 +6,19 @@ of one word) tells how far the search may move on from a block, the blocks that
 pattern lead to a bucket keyed by that suffix, and the words of each test pattern there
 are compared directly.
 
+A benchmark of up to ``slice_bytes`` of text is broadcast whole. Of a larger one only
+the shift tables are, in a fixed number of places that blocks share by their hash (a place
+has the least shift of its blocks, so no occurrence is passed over). Windows of documents
+that end at a block without a shift meet the patterns in a join on their hash, which can be
+split where a window is frequent, and are compared there word by word. The result is the
+same either way.
+
 Null and empty texts have no words and no hits; null and empty items have no windows.
 Repeated items count once per item_id; repeated documents are judged alike. With an
-empty benchmark nothing is hit. Items without an id are counted under the name "null".
+empty benchmark nothing is hit; an empty table of documents gives an empty table. Texts of
+any length are searched whole. Occurrences may overlap: a word inside of any is hit once.
+Items without an id are counted under the name "null". Further columns of either table,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -16,13 +26,17 @@ from __future__ import annotations
 from collections import defaultdict
 from hashlib import sha256
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import arrow_map, documents, resident
+from termloom.llm.common import arrow_map, cut, documents, resident
 
-#: Bytes of benchmark text in one set of tables; a larger benchmark is searched in slices of this size at most.
+#: Bytes of benchmark text that may be broadcast; of a larger one no text is.
 SLICE_BYTES = 8_000_000
+#: Places of a shift table that is broadcast instead of a larger benchmark (a byte each).
+PLACES = 1 << 22
 
 
 def word_table() -> bytes:
@@ -102,57 +116,140 @@ def tables(key: str, load) -> WuManber:
     return resident(__name__, key, lambda: WuManber(*load()))
 
 
-class Slice:
-    """A broadcast slice of the benchmark; equal keys share a worker's tables."""
+def items_of(benchmark: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col(id_column).cast("string"), F.lit("null")).alias("item"), F.col(text_column).cast("string").alias("text")).where(F.col("text").isNotNull())
 
-    def __init__(self, broadcast, key: str):
-        self.broadcast, self.key = broadcast, key
 
-    def __hash__(self):
-        return hash(self.key)
+SCHEMA = (("n_words", "bigint"), ("n_hit", "bigint"), ("n_items", "bigint"), ("items_sha256", "string"), ("contaminated", "boolean"))
 
-    def __eq__(self, other):
-        return self.key == other.key
 
-    def __call__(self):
-        return self.broadcast.load_from_path(self.broadcast._path) if self.broadcast._path else self.broadcast.value
+def judged(n_words: int, n_hit: int, items) -> tuple:
+    return n_words, n_hit, len(items), sha256(",".join(sorted(items)).encode()).hexdigest(), n_hit > 0
 
 
-def slices(benchmark: DataFrame, window: int, id_column: str, text_column: str, slice_bytes: int) -> list[Slice]:
-    """The benchmark in broadcasts of about slice_bytes at most. Each passes through the driver alone, so its memory is bounded too."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.coalesce(F.col(id_column).cast("string"), F.lit("null")).alias("item"), F.col(text_column).cast("string").alias("text")).where(F.col("text").isNotNull())
-    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    n = max(1, -(-size // slice_bytes))
-    found = []
-    for k in range(n):
-        own = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        rows = sorted((r.item, r.text) for r in own.collect())
-        key = sha256(repr((rows, window)).encode()).hexdigest()
-        found.append(Slice(spark.sparkContext.broadcast((rows, window)), key))
+def by_broadcast(source: DataFrame, items: DataFrame, window: int, id_column: str) -> DataFrame:
+    """One narrow stage over the documents; the items pass through the driver."""
+    rows = sorted((r.item, r.text) for r in items.collect())
+    key = sha256(repr((rows, window)).encode()).hexdigest()
+    shared = source.sparkSession.sparkContext.broadcast((rows, window))
+
+    def make():
+        def block(columns):
+            search = tables(key, lambda: shared.value)
+            rows = []
+            for text in columns[1]:
+                words = words_of(text)
+                hit, found = bytearray(len(words)), set()
+                search.find(words, hit, found)
+                rows.append(judged(len(words), sum(hit), found))
+            return [columns[0], *(map(list, zip(*rows, strict=True)) if rows else [[]] * len(SCHEMA))]
+
+        return block
+
+    return arrow_map(source, make, [(id_column, "bigint"), *SCHEMA])
+
+
+def place_of(words: list[bytes], size: int) -> int:
+    """The place of a block in the shift table of patterns of so many words."""
+    return xxhash.xxh64_intdigest(b" ".join(words), seed=size) % PLACES
+
+
+def windows_of(items: DataFrame, window: int) -> DataFrame:
+    """size (words), words and item of every pattern."""
+
+    def make():
+        def block(columns):
+            rows = []
+            for item, text in zip(*columns, strict=True):
+                words = words_of(text)
+                m = min(window, len(words))
+                rows += [(m, b" ".join(words[i : i + m]), item) for i in range(len(words) - m + 1 if m else 0)]
+            return list(map(list, zip(*rows, strict=True))) if rows else [[]] * 3
+
+        return block
+
+    return arrow_map(items, make, [("size", "int"), ("words", "binary"), ("item", "string")]).distinct()
+
+
+def shift_tables(patterns: DataFrame) -> dict[int, np.ndarray]:
+    """For each length of patterns the shift of each place: a bounded number of rows of the aggregation reaches the driver."""
+
+    def make():
+        def block(columns):
+            rows = {}
+            for size, words in zip(*columns, strict=True):
+                own = words.split(b" ")
+                b = min(2, size)
+                for end in range(b, size + 1):
+                    key = size, place_of(own[end - b : end], size)
+                    rows[key] = min(rows.get(key, size), size - end)
+            return [[m for m, _ in rows], [p for _, p in rows], list(rows.values())]
+
+        return block
+
+    placed = arrow_map(patterns.select("size", "words"), make, [("size", "int"), ("place", "int"), ("shift", "int")])
+    found = {}
+    for row in placed.groupBy("size", "place").agg(F.min("shift").alias("shift")).toLocalIterator():
+        if row.size not in found:
+            found[row.size] = np.full(PLACES, row.size - min(2, row.size) + 1, np.uint8)
+        found[row.size][row.place] = row.shift
     return found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row; one narrow stage over the documents."""
-    parts = slices(benchmark, window, item_column, item_text_column, slice_bytes)
+def by_join(source: DataFrame, items: DataFrame, window: int, id_column: str) -> DataFrame:
+    """Windows that the shift tables let through meet the patterns in a join; hits are gathered by document."""
+    patterns = cut(windows_of(items, window))
+    shared = source.sparkSession.sparkContext.broadcast({m: t.tobytes() for m, t in shift_tables(patterns).items()})
+    # Rows of one id and one text are hit alike.
+    keyed = source.select("id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "text")
+
+    def counts():
+        return lambda columns: [columns[0], columns[1], [len(words_of(t)) for t in columns[2]]]
+
+    counted = arrow_map(keyed, counts, [("id", "bigint"), ("digest", "string"), ("n_words", "bigint")])
 
     def make():
+        tables = {m: np.frombuffer(t, np.uint8) for m, t in shared.value.items()}
+
         def block(columns):
-            ids, texts = columns
-            words = [words_of(t) for t in texts]
-            hits = [bytearray(len(w)) for w in words]
-            items: list[set[str]] = [set() for _ in words]
-            for part in parts:
-                search = tables(part.key, part)
-                for own, hit, names in zip(words, hits, items, strict=True):
-                    search.find(own, hit, names)
-            n_hit = [sum(h) for h in hits]
-            digest = [sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
-            return [ids, [len(w) for w in words], n_hit, [len(x) for x in items], digest, [n > 0 for n in n_hit]]
+            rows = []
+            for key, digest, text in zip(*columns, strict=True):
+                words = words_of(text)
+                for m, table in tables.items():
+                    i, b = m, min(2, m)
+                    while i <= len(words):
+                        shift = int(table[place_of(words[i - b : i], m)])
+                        if not shift:
+                            rows.append((key, digest, i - m, m, b" ".join(words[i - m : i])))
+                        i += shift or 1
+            return list(map(list, zip(*rows, strict=True))) if rows else [[]] * 5
 
         return block
 
-    schema = [(id_column, "bigint"), ("n_words", "bigint"), ("n_hit", "bigint"), ("n_items", "bigint"), ("items_sha256", "string"), ("contaminated", "boolean")]
-    # More slices mean more loads of tables for each block of rows, so blocks grow with them.
-    return arrow_map(documents(docs, id_column, text_column), make, schema, rows=256 if len(parts) == 1 else 4096)
+    candidates = arrow_map(keyed, make, [("id", "bigint"), ("digest", "string"), ("start", "int"), ("size", "int"), ("words", "binary")])
+    hashed = lambda frame: frame.withColumn("hash", F.xxhash64("size", "words"))
+    met = hashed(candidates).join(hashed(patterns), ["hash", "size", "words"])
+    found = cut(met.groupBy("id", "digest").agg(F.collect_set(F.struct("start", "size")).alias("at"), F.collect_set("item").alias("items")))
+    joined = counted.join(found.withColumnRenamed("id", "own").withColumnRenamed("digest", "of"), F.col("id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("of")), "left")
+
+    def verdicts():
+        def block(columns):
+            rows = []
+            for n_words, at, items in zip(*columns[1:], strict=True):
+                n_hit, end = 0, 0
+                for start, size in sorted((x["start"], x["size"]) for x in at or ()):
+                    n_hit += max(0, start + size - max(start, end))
+                    end = max(end, start + size)
+                rows.append(judged(n_words, n_hit, items or ()))
+            return [columns[0], *(map(list, zip(*rows, strict=True)) if rows else [[]] * len(SCHEMA))]
+
+        return block
+
+    return arrow_map(joined.select("id", "n_words", "at", "items"), verdicts, [(id_column, "bigint"), *SCHEMA])
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row."""
+    items = items_of(benchmark, item_column, item_text_column)
+    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    return (by_broadcast if size <= slice_bytes else by_join)(documents(docs, id_column, text_column), items, window, id_column)
