@@ -16,16 +16,26 @@ order, rare ones first, of which any set similar enough shares at least one.
 The global order sends shingles that are frequent in a documented sample of the
 documents to the end. It changes how much work there is, never the result.
 
-Links make components. Null texts and texts without words have an empty set and no
-links. Repeated rows have equal sets; rows of one id are one node of the graph.
+Links make components. The number of links of each set is derived in the same way, for all
+sets of a component from one base: the shingles that more than half of them have. With each
+set's difference from the base, two sets differ in as many shingles as their differences
+have together, less twice what these share. Of sets whose differences share nothing, the
+links follow from sums of two numbers, one for each set, so they are counted by the numbers'
+distribution; only pairs whose differences share a shingle, and that the sum alone does not
+link, are looked at one by one.
+
+Null texts and texts without words have an empty set and no links; an empty table gives an
+empty table. Texts of any length are read whole. Repeated rows have equal sets and equal
+results; rows of one id are one node of the graph, and an id counts once among the links of
+a set, however many rows it has. Of a component's ids the smallest names it. Further
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-import gc
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.llm.common import arrow_map, cut, documents, release
@@ -249,8 +259,44 @@ def remaining_pairs(lists: DataFrame, answers: DataFrame, percent: int) -> DataF
     return live.join(seek, ["shingle", "block"]).where((F.col("comp") != F.col("x_comp")) & once & size_fits(F.col("n"), F.col("x_n"), percent) & by_position & by_answer).select(F.least("rep", "x_rep").alias("a"), F.greatest("rep", "x_rep").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, n_shingles and component_id of every row; sets link when 100 * intersection >= percent * union."""
+def link_counts(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """rep and links: for each set (rep, component, w: its ids) the ids of other sets of its component that it links with.
+
+    With d shingles of difference, sets of n and m link when (100 + percent) d <=
+    (100 - percent) (n + m). excess is what of this one set brings: a pair links when its
+    excesses add up to no more than 2 (100 + percent) times the shingles that their
+    differences from the base share.
+    """
+    own = cut(members.join(sets, "rep").select("component", "rep", "w", "shingles"))
+    sizes = own.groupBy("component").agg(F.count("*").alias("of"))
+    common = own.select("component", F.explode("shingles").alias("s")).groupBy("component", "s").agg(F.count("*").alias("k"))
+    bases = common.where("k > 1").join(sizes, "component").where("2 * k > of").groupBy("component").agg(F.collect_list("s").alias("base"))
+    difference = F.concat(F.array_except("shingles", "base"), F.array_except("base", "shingles"))
+    joined = own.join(bases, "component", "left").withColumn("base", F.coalesce("base", F.array().cast("array<bigint>")))
+    excess = (F.lit(100 + percent) * F.size("difference") - F.lit(100 - percent) * F.size("shingles")).cast("bigint")
+    measured = cut(joined.withColumn("difference", difference).select("component", "rep", "w", "difference", excess.alias("excess")))
+    # Ids of a component by excess, added up to minus that of each set: what links if no difference is shared.
+    spread = measured.groupBy("component", "excess").agg(F.sum("w").alias("w"))
+    asked = spread.select("component", (-F.col("excess")).alias("key"), F.lit(1).alias("q"), F.lit(0).cast("bigint").alias("w"), "excess")
+    both = spread.select("component", F.col("excess").alias("key"), F.lit(0).alias("q"), "w", "excess").unionByName(asked)
+    so_far = F.sum("w").over(Window.partitionBy("component").orderBy("key", "q").rowsBetween(Window.unboundedPreceding, 0))
+    apart = both.withColumn("links", so_far).where("q = 1").select("component", "excess", "links")
+    counted = measured.join(apart, ["component", "excess"]).select("rep", (F.col("links") - F.when(F.col("excess") <= 0, F.col("w")).otherwise(0)).alias("links"))
+    # Pairs that this does not link, but what their differences share may.
+    parts = measured.select("component", "rep", "w", "excess", F.explode("difference").alias("s"))
+    other = parts.select("component", "s", *(F.col(c).alias(f"x_{c}") for c in ("rep", "w", "excess")))
+    pairs = parts.join(other, ["component", "s"]).where((F.col("rep") < F.col("x_rep")) & (F.col("excess") + F.col("x_excess") > 0))
+    shared = pairs.groupBy("rep", "w", "excess", "x_rep", "x_w", "x_excess").agg(F.count("*").alias("c"))
+    more = shared.where(F.col("excess") + F.col("x_excess") <= F.lit(2 * (100 + percent)) * F.col("c"))
+    sides = more.select("rep", F.col("x_w").alias("links")).unionByName(more.select(F.col("x_rep").alias("rep"), F.col("w").alias("links")))
+    return counted.unionByName(sides).groupBy("rep").agg(F.sum("links").alias("links"))
+
+
+def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_column: str = "doc_id", text_column: str = "text", count_links: bool = True) -> DataFrame:
+    """id, n_shingles, component_id and n_links of every row; sets link when 100 * intersection >= percent * union.
+
+    n_links: the other ids with an equal set or one that links; left out without count_links.
+    """
     spark = docs.sparkSession
     source = documents(docs, id_column, text_column)
     signed = cut(signatures(source, width, percent))
@@ -277,9 +323,17 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
         answers = found if answers is None else answers.unionByName(found)
         links = answers.where("linked").select("a", "b")
         release(spark)
-    labels = components(links)
-    named = classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    # An empty set has no class: its own id, its own component.
-    joined = signed.select("id", "n", "digest").join(named, "digest", "left")
-    return joined.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-
+    labels = cut(components(links))
+    named = classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    columns = [F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")]
+    if not count_links:
+        # An empty set has no class: its own id, its own component.
+        found = named.select("digest", F.coalesce("component", "rep").alias("component"))
+        return signed.select("id", "n", "digest").join(found, "digest", "left").select(*columns)
+    ids = signed.where("n > 0").select("digest", "id").distinct().groupBy("digest").agg(F.count("*").alias("w"))
+    classed = cut(named.join(ids, "digest").select("digest", "rep", "component", "w"))
+    members = cut(classed.where("component IS NOT NULL").select("rep", "component", "w"))
+    counts = link_counts(members, sets_of(source, members.select("rep"), width), percent)
+    others = F.coalesce("links", F.lit(0)) + F.coalesce("w", F.lit(1)) - 1
+    found = classed.join(counts, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), others.cast("bigint").alias("n_links"))
+    return signed.select("id", "n", "digest").join(found, "digest", "left").select(*columns, F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

@@ -44,7 +44,7 @@ pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM sets a JOIN se
 links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * o >= 90 * (p.n + q.n - o)),
 sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach AS (SELECT x, y FROM sides UNION SELECT r.x, b.y FROM reach r JOIN sides b ON b.x = r.y)
-SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM reach GROUP BY x) USING (doc_id)"""
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, coalesce(k, 0) AS n_links FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM reach GROUP BY x) USING (doc_id) LEFT JOIN (SELECT x AS doc_id, count(*) AS k FROM sides GROUP BY x) USING (doc_id)"""
 
 WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 DECONTAMINATION = f"""WITH d AS (SELECT doc_id, regexp_extract_all({lowered("text")}, {WORDS}) AS w FROM documents),
