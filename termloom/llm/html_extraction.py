@@ -35,6 +35,8 @@ from termloom.llm.common import arrow_map, cut
 
 #: A subtree recurs if so many distinct pages of its host have it, and such a share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.1
+#: Templates (16 bytes and the host's name each) that may be broadcast; more are joined to the pages by a shuffle.
+BROADCAST_TEMPLATES = 200_000
 
 #: A comment, a declaration, or a tag. Quotes count after an equals sign only; a tag of the last kind has quotes that never close and ends at the first >.
 COMMENT, NAME = r"<!--.*?(?:-->|\Z)|<[!?][^>]*>", r"<(/?)([A-Za-z][A-Za-z0-9:-]*)"
@@ -293,35 +295,57 @@ def parsed_pages(source: DataFrame) -> DataFrame:
     return arrow_map(source.select("page_id", "url", "html", "host", "digest"), make, PARSED, rows=64)
 
 
-def deletions(parsed: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """host, digest and the hashes of the page's subtrees and slots that recur on its host; on a host of fewer than min_pages pages, all its slots.
+def hashes_of(parsed: DataFrame) -> DataFrame:
+    """host, digest, hash and slot (whether it is one of a slot) of every distinct page of each host."""
+    n, size = F.col("n_subtrees"), F.size("hashes")
+
+    def marked(own, slot: bool):
+        return F.transform(F.array_distinct(own), lambda h: F.struct(h.alias("hash"), F.lit(slot).alias("slot")))
+
+    found = F.concat(marked(F.slice("hashes", F.lit(1), n), False), marked(F.slice("hashes", n + 1, size - n), True))
+    return cut(parsed.select("host", "digest", found.alias("found")).dropDuplicates(["host", "digest"]))
+
+
+def templates_of(distinct: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+    """host and the hashes of the subtrees and slots that recur on it; on a host of fewer than min_pages pages, all its slots.
 
     Counts are partial aggregations, so a host with most of the pages leaves each task
     as one row per subtree.
     """
-    is_slot = F.transform(F.array_distinct("hashes"), lambda h: F.struct(h.alias("hash"), (F.array_position("hashes", h) > F.col("n_subtrees")).alias("slot")))
-    distinct = cut(parsed.select("host", "digest", is_slot.alias("found")).dropDuplicates(["host", "digest"]))
-    own = distinct.select("host", "digest", F.inline("found"))
     sizes = distinct.groupBy("host").agg(F.count("*").alias("of"))
-    counted = own.groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("slot").alias("slot"))
+    counted = distinct.select("host", F.inline("found")).groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("slot").alias("slot"))
     recurs = (F.col("n") >= min_pages) & (F.col("n") >= min_share * F.col("of")) | F.col("slot") & (F.col("of") < min_pages)
-    templates = counted.where((F.col("n") >= min_pages) | F.col("slot")).join(sizes, "host").where(recurs).select("host", "hash")
-    return own.join(templates, ["host", "hash"]).groupBy("host", "digest").agg(F.collect_list("hash").alias("deleted"))
+    return counted.where((F.col("n") >= min_pages) | F.col("slot")).join(sizes, "host").where(recurs).select("host", "hash")
 
 
-def extract_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
+def extract_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", broadcast_templates: int = BROADCAST_TEMPLATES) -> DataFrame:
     """page_id, url, text, n_chars and n_deleted (subtrees and slots deleted by counts) of every row."""
+    spark = pages.sparkSession
     parsed = cut(parsed_pages(sources(pages, id_column, url_column, html_column)))
-    lists = cut(deletions(parsed, min_pages, min_share))
-    # The lists grow with the pages, so they are joined by a shuffle, which can be split where a page has many copies.
-    joined = parsed.join(lists.hint("merge"), ["host", "digest"], "left").select("page_id", "url", "texts", "flags", "hashes", "spans", "deleted")
+    distinct = hashes_of(parsed)
+    templates = cut(templates_of(distinct, min_pages, min_share))
+    shared = None
+    if templates.count() <= broadcast_templates:
+        by_host: dict[str, set[int]] = {}
+        for row in templates.collect():
+            by_host.setdefault(row.host, set()).add(row.hash)
+        shared = spark.sparkContext.broadcast(by_host)
+        source = parsed.withColumn("deleted", F.lit(None).cast("array<bigint>"))
+    else:
+        # Each page's own list, joined by a shuffle, which can be split where a page has many copies.
+        lists = cut(distinct.select("host", "digest", F.inline("found")).join(templates, ["host", "hash"]).groupBy("host", "digest").agg(F.collect_list("hash").alias("deleted")))
+        source = parsed.join(lists.hint("merge"), ["host", "digest"], "left")
 
     def make():
+        known = shared.value if shared is not None else None
+
         def block(columns):
-            ids, urls, *parts = columns
-            texts = [main_text(*row, frozenset(d or ())) for *row, d in zip(*parts, strict=True)]
-            return [ids, urls, texts, [len(t) for t in texts], [len(d or ()) for d in parts[-1]]]
+            ids, urls, hosts, texts, flags, hashes, spans, lists = columns
+            deleted = [known.get(h, ()) for h in hosts] if known is not None else [frozenset(d or ()) for d in lists]
+            found = [main_text(*row) for row in zip(texts, flags, hashes, spans, deleted, strict=True)]
+            return [ids, urls, found, [len(t) for t in found], [sum(h in d for h in own) for own, d in zip(hashes, deleted, strict=True)]]
 
         return block
 
-    return arrow_map(joined, make, [("page_id", "bigint"), ("url", "string"), ("text", "string"), ("n_chars", "bigint"), ("n_deleted", "bigint")], rows=256)
+    schema = [("page_id", "bigint"), ("url", "string"), ("text", "string"), ("n_chars", "bigint"), ("n_deleted", "bigint")]
+    return arrow_map(source.select("page_id", "url", "host", "texts", "flags", "hashes", "spans", "deleted"), make, schema, rows=256)
