@@ -1,4 +1,7 @@
-"""Command line: tokenize, vocab, index, lookup, search, search-structured, eval, eval-structured, prepare-titles, prepare-esci."""
+"""Command line: tokenize, vocab, index, lookup, search, search-structured, eval, eval-structured, demo, prepare-titles, prepare-esci, make-titles.
+
+An index is a folder of Parquet tables, or JSON where its path ends in .json.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +9,16 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from termloom.functions.text import TokenizerConfig, tokenize
-from termloom.operators.evaluation import evaluate
+from termloom.operators.evaluation import demo, evaluate
 from termloom.operators.index import SearchIndex, build_index, index_summary, lookup, vocabulary_summary
 from termloom.operators.prep import prepare_amazon_esci, prepare_flipkart_titles
 from termloom.operators.ranking import ScorerConfig, search, search_batch
 from termloom.operators.structured import search_structured, search_structured_batch
-from termloom.sources.files import read_documents, read_index_json, read_qrels, read_queries, write_index_json
+from termloom.operators.titles import make_titles
+from termloom.sources.files import open_index, read_documents, read_qrels, read_queries, write_csv, write_index
 
 TOKENIZER, TABLE, SCORER, RESULTS = object(), object(), object(), object()
 #: Options of each command: groups above, or (flag, keywords of argparse).
@@ -26,6 +31,8 @@ COMMANDS = {
     "search-structured": [TABLE, ("--query", {"required": True}), RESULTS, SCORER, TOKENIZER],
     "eval": [("--index", {"required": True}), ("--qrels", {"required": True}), ("--queries", {"required": True}), ("--k", {"type": int, "default": 10}), ("--per-query", {"action": "store_true"}), RESULTS, SCORER, TOKENIZER],
     "eval-structured": [TABLE, ("--qrels", {"required": True}), ("--queries", {"required": True}), ("--k", {"type": int, "default": 10}), ("--per-query", {"action": "store_true"}), RESULTS, SCORER, TOKENIZER],
+    "demo": [TABLE, ("--qrels", {"required": True}), ("--queries", {"required": True}), ("--show", {"type": int, "default": 5})],
+    "make-titles": [("--output", {"required": True}), ("--rows", {"type": int, "default": 500}), ("--seed", {"type": int, "default": 42})],
     "prepare-titles": [("--input", {"required": True}), ("--output", {"required": True}), ("--text-column", {"required": True}), ("--doc-id-column", {}), ("--limit", {"type": int})],
     "prepare-esci": [("--products", {"required": True}), ("--queries", {"required": True}), ("--labels", {"required": True}), ("--output-dir", {"required": True}), ("--limit", {"type": int})],
 }
@@ -74,6 +81,25 @@ def show_report(queries, run, judgments, args, title: str) -> None:
             print(f"  {q.query_id}: P={q.precision_at_k:.3f} R={q.recall_at_k:.3f} RR={q.reciprocal_rank:.3f} nDCG={q.ndcg_at_k:.3f}")
 
 
+def show_demo(spark: SparkSession, args) -> None:
+    """What is found, how good it is, and what is missed."""
+    documents = read_documents(spark, args.csv, args.text_column, args.doc_id_column, args.limit)
+    queries = read_queries(spark, args.queries)
+    found = demo(documents, queries, read_qrels(spark, args.qrels))
+    shown = [r.query_id for r in queries.orderBy("query_id").limit(args.show).collect()]
+    print("1. What the index finds")
+    for row in found.results.where(F.col("query_id").isin(shown)).orderBy("query_id", "rank").collect():
+        print(f"  {row.query_id}  {row['rank']}. {row.doc_id}  score={row.score:.4f}  {row.text}")
+    means = found.means.first()
+    print(f"2. How good that is (k={means.k}, queries={means.num_queries})")
+    print(f"  P {means.mean_precision_at_k:.4f}  R {means.mean_recall_at_k:.4f}  MRR {means.mean_reciprocal_rank:.4f}  nDCG {means.mean_ndcg_at_k:.4f}")
+    for q in found.metrics.where(F.col("query_id").isin(shown)).orderBy("query_id").collect():
+        print(f"  {q.query_id}: P={q.precision_at_k:.3f} nDCG={q.ndcg_at_k:.3f}")
+    print("3. What it misses")
+    for row in found.missed.orderBy("query_id", F.desc("relevance"), "doc_id").toLocalIterator():
+        print(f"  {row.query_id}  {row.doc_id}  relevance={row.relevance}  {row.text}")
+
+
 def run(spark: SparkSession, args) -> None:
     command = args.command
     if command in ("vocab", "index"):
@@ -81,26 +107,31 @@ def run(spark: SparkSession, args) -> None:
         for name, value in (vocabulary_summary(index) if command == "vocab" else index_summary(index)).first().asDict().items():
             print(f"{name} = {value}")
         if command == "index":
-            write_index_json(index, args.output)
+            write_index(index, args.output)
             print(f"saved to = {args.output}")
     elif command == "lookup":
         term = args.term.strip().lower()
-        rows = lookup(read_index_json(spark, args.index), term).collect()
+        rows = lookup(open_index(spark, args.index), term).collect()
         print(f"Term '{term}' found in {len(rows)} document(s):" if rows else f"Term '{term}' not found in index.")
         for row in rows:
             print(f"  {row.doc_id}  tf={row.tf}")
     elif command == "search":
-        show(search(args.query.strip().lower().split(), read_index_json(spark, args.index), ScorerConfig(args.k1, args.b), args.top_k), args.query, "")
+        show(search(args.query.strip().lower().split(), open_index(spark, args.index), ScorerConfig(args.k1, args.b), args.top_k), args.query, "")
     elif command == "search-structured":
         show(search_structured(args.query, indexed(spark, args), ScorerConfig(args.k1, args.b), args.top_k), args.query, "structured ")
     elif command == "eval":
-        index = read_index_json(spark, args.index, tokenizer(args))
+        index = open_index(spark, args.index, tokenizer(args))
         queries = read_queries(spark, args.queries)
         show_report(queries, search_batch(queries, index, ScorerConfig(args.k1, args.b), args.top_k), read_qrels(spark, args.qrels), args, "Evaluation Report")
     elif command == "eval-structured":
         queries = read_queries(spark, args.queries)
         pairs = [(r.query_id, r.query) for r in queries.collect()]
         show_report(queries, search_structured_batch(pairs, indexed(spark, args), ScorerConfig(args.k1, args.b), args.top_k), read_qrels(spark, args.qrels), args, "Structured Evaluation Report")
+    elif command == "demo":
+        show_demo(spark, args)
+    elif command == "make-titles":
+        done = write_csv(make_titles(spark, args.rows, args.seed).orderBy("product_id"), args.output, ["product_id", "title", "category"])
+        print(f"{done.path}: {done.row_count} rows")
     elif command == "prepare-titles":
         done = prepare_flipkart_titles(spark, args.input, args.output, args.text_column, args.doc_id_column, args.limit)
         print(f"{done.path}: {done.row_count} rows")

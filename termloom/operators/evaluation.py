@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from termloom.functions.text import TokenizerConfig
+from termloom.operators.index import build_index, stored
+from termloom.operators.ranking import search_batch
+
 RELEVANT = 2
 
 
@@ -59,3 +65,23 @@ def gaps(judgments: DataFrame, run: DataFrame, documents: DataFrame, text_column
     """query_id, doc_id, relevance, text of the relevant documents that the run misses."""
     missed = judgments.where(F.col("relevance") >= threshold).join(run.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     return missed.join(documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col(text_column).alias("text")), "doc_id", "left").select("query_id", "doc_id", "relevance", "text")
+
+
+@dataclass(frozen=True)
+class Demo:
+    """results (query_id, rank, doc_id, score, text), metrics by query, their means, and missed, as gaps() has it."""
+
+    results: DataFrame
+    metrics: DataFrame
+    means: DataFrame
+    missed: DataFrame
+
+
+def demo(documents: DataFrame, queries: DataFrame, judgments: DataFrame, k: int = 5, shown: int = 3) -> Demo:
+    """Search, evaluation at k and gaps of a judged collection, by an index without stopwords; the first shown results have their texts."""
+    index = stored(build_index(documents, config=TokenizerConfig(drop_stopwords=True)), positions=False)
+    found = search_batch(queries, index, top_k=k)
+    metrics, means = evaluate(queries, found, judgments, k)
+    texts = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    results = found.where(F.col("rank") <= shown).join(texts, "doc_id").select("query_id", "rank", "doc_id", "score", "text")
+    return Demo(results, metrics, means, gaps(judgments, found, documents))

@@ -9,33 +9,53 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.text import DEFAULT, TokenizerConfig, tokenize_documents
+from termloom.runtime import work_path
 
 
 @dataclass(frozen=True)
 class SearchIndex:
     """postings(term, doc_id, tf, positions), doc_lengths(doc_id, dl) and the tokenizer that made them.
 
-    One table serves term and positional queries: positions are pruned where unused.
+    One table serves term and positional queries: positions are pruned where unused. A
+    saved index also has its terms and its one row of statistics as tables.
     """
 
     postings: DataFrame
     doc_lengths: DataFrame
     config: TokenizerConfig = DEFAULT
+    term_table: DataFrame | None = None
+    stats_row: DataFrame | None = None
 
     def stats(self) -> DataFrame:
         """One row: document_count, total_terms, avgdl (0 if there are no documents). Empty documents count."""
+        if self.stats_row is not None:
+            return self.stats_row
         row = self.doc_lengths.agg(F.count("*").alias("document_count"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_terms"))
         return row.withColumn("avgdl", F.coalesce(F.try_divide("total_terms", "document_count"), F.lit(0.0)))
 
     def terms(self) -> DataFrame:
         """term, df, cf."""
+        if self.term_table is not None:
+            return self.term_table
         return self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
-    def save(self, path: str) -> None:
-        """Parquet, postings clustered by term so that look-ups prune row groups; the tokenizer beside them."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.doc_lengths.write.mode("overwrite").parquet(f"{path}/doc_lengths")
+    def save(self, path: str, positions: bool = True) -> None:
+        """Parquet, postings clustered by term so that look-ups prune row groups; beside them lengths, terms, statistics and the tokenizer.
+
+        Texts are tokenised once: lengths and terms come from the postings that have been
+        written. Without positions the index serves ranking only.
+        """
         spark = self.postings.sparkSession
+        columns = ["term", "doc_id", "tf", *(["positions"] if positions else [])]
+        self.postings.select(*columns).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        written = spark.read.parquet(f"{path}/postings")
+        # Only the ids of the documents are read here, the tokens are pruned.
+        own = written.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+        lengths = self.doc_lengths.select("doc_id").join(own, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).cast("bigint").alias("dl"))
+        lengths.write.mode("overwrite").parquet(f"{path}/doc_lengths")
+        saved = SearchIndex(written, spark.read.parquet(f"{path}/doc_lengths"), self.config)
+        saved.terms().repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        saved.stats().coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
         spark.createDataFrame([(json.dumps(self.config.as_dict()),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
 
 
@@ -44,7 +64,16 @@ def load_index(spark: SparkSession, path: str, config: TokenizerConfig | None =
     saved = TokenizerConfig(**json.loads(spark.read.text(f"{path}/config").first().value))
     if config is not None and config != saved:
         raise ValueError(f"the index was built with {saved}, not {config}")
-    return SearchIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_lengths"), saved)
+    postings, lengths, terms, stats = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "doc_lengths", "terms", "stats"))
+    return SearchIndex(postings, lengths, saved, terms, stats)
+
+
+def stored(index: SearchIndex, positions: bool = True) -> SearchIndex:
+    """The index, saved in the application's work folder: what it serves reads Parquet and tokenises nothing anew."""
+    spark = index.postings.sparkSession
+    path = work_path(spark)
+    index.save(path, positions)
+    return load_index(spark, path, index.config)
 
 
 def reject_duplicates(docs: DataFrame, id_column: str) -> None:
@@ -60,7 +89,7 @@ def build_index(docs: DataFrame, text_column: str = "text", id_column: str = "do
     tokenized = tokenize_documents(docs, text_column, id_column, config)
     # posexplode_outer: a plain posexplode would have Catalyst repeat the tokenizer in a filter.
     stream = tokenized.select("doc_id", F.posexplode_outer("tokens").alias("pos", "term")).where("term IS NOT NULL")
-    postings = stream.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    postings = stream.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
     return SearchIndex(postings, tokenized.select("doc_id", F.col("token_count").alias("dl")), config)
 
 

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from termloom.sources.files import PreparedFile, read_csv, write_csv
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """The rows with their 1-based number n in input order, without gathering them in one task."""
-    schema = StructType([*rows.schema.fields, StructField("n", LongType())])
-    return rows.rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1] + 1)).toDF(schema)
+    """The rows with their 1-based number n in input order, without gathering them in one task.
+
+    Rows are counted in their partitions, and moved on by the sizes of the partitions
+    before: one row for each partition, so these are broadcast.
+    """
+    marked = rows.withColumn("_id", F.monotonically_increasing_id())
+    part, inside = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = marked.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return marked.withColumn("_part", part).join(F.broadcast(offsets), "_part").select(*rows.columns, (F.col("_before") + inside + 1).alias("n"))
 
 
 def first_rows(rows: DataFrame, limit: int | None) -> DataFrame:

@@ -35,7 +35,11 @@ def weighted_postings(index: SearchIndex, wanted: DataFrame | None = None, terms
         postings = postings.where(F.col("term").isin(list(terms)))
     if wanted is not None:
         postings = postings.join(wanted, "term", "left_semi")
-    dfs = postings.groupBy("term").agg(F.count("*").alias("df"))
+    if index.term_table is None:
+        dfs = postings.groupBy("term").agg(F.count("*").alias("df"))
+    else:
+        dfs = index.term_table.select("term", "df")
+        dfs = dfs.where(F.col("term").isin(list(terms))) if terms is not None else dfs
     one_row = F.broadcast(index.stats().select("document_count", "avgdl"))
     joined = postings.join(dfs, "term").join(index.doc_lengths, "doc_id").crossJoin(one_row)
     return joined.withColumn("idf", idf(F.col("df"), F.col("document_count")))

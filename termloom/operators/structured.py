@@ -25,17 +25,25 @@ def positions_of(term: str) -> Column:
 
 
 def phrase_at(terms: tuple[str, ...]) -> Column:
-    """Some position of the first term from which the others follow one by one."""
-    others = [positions_of(t) for t in terms[1:]]
+    """Some position of the first term from which the others follow one by one: positions moved back by each term's place in the phrase have one in common (by hashing, in linear time)."""
 
-    def follows(p: Column) -> Column:
-        return reduce(lambda a, b: a & b, [F.array_contains(own, p + k) for k, own in enumerate(others, 1)], F.lit(True))
+    def moved(k: int) -> Column:
+        return F.transform(positions_of(terms[k]), lambda p: p - k)
 
-    return F.exists(positions_of(terms[0]), follows)
+    return F.size(reduce(F.array_intersect, map(moved, range(len(terms))))) > 0
 
 
 def near(left: str, right: str, distance: int) -> Column:
-    return F.exists(positions_of(left), lambda x: F.exists(positions_of(right), lambda y: F.abs(x - y) <= distance))
+    """Of all positions in one order, some two neighbours are of different sides and close: the closest pair always is neighbours."""
+
+    def marked(term: str, side: int) -> Column:
+        return F.transform(positions_of(term), lambda p: F.struct(p.alias("at"), F.lit(side).alias("side")))
+
+    def close(order: Column) -> Column:
+        steps = F.greatest(F.size(order) - 1, F.lit(0))
+        return F.array_contains(F.zip_with(F.slice(order, F.lit(1), steps), F.slice(order, F.lit(2), steps), lambda a, b: (a["side"] != b["side"]) & (b["at"] - a["at"] <= distance)), True)
+
+    return F.transform(F.array(F.sort_array(F.concat(marked(left, 0), marked(right, 1)))), close)[0]
 
 
 def condition(node: QueryNode) -> Column:

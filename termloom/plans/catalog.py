@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions.text import STOPWORDS, SUFFIXES, TokenizerConfig, normalized_text, term_counts, tokenize_documents
 from termloom.operators.evaluation import evaluate
-from termloom.operators.index import SearchIndex, build_index, hapax_ratio, index_summary, lookup, most_frequent, vocabulary, vocabulary_summary
+from termloom.operators.index import SearchIndex, build_index, hapax_ratio, index_summary, lookup, most_frequent, stored, vocabulary, vocabulary_summary
 from termloom.operators.prep import prepare_esci, prepare_titles
 from termloom.operators.ranking import ScorerConfig, idf_of, parameter_grid, search, search_batch, term_scores
 from termloom.operators.structured import retrieve, search_structured, search_structured_batch
@@ -40,6 +40,11 @@ def index_of(spark: SparkSession, sf_dir: str, config: str = "default") -> Searc
     return build_index(documents(spark, sf_dir), config=CONFIGS[config], check_ids=False)
 
 
+def stored_index_of(spark: SparkSession, sf_dir: str, config: str = "default", positions: bool = True) -> SearchIndex:
+    """For queries that read an index more than once: built and saved, so that texts are tokenised once."""
+    return stored(index_of(spark, sf_dir, config), positions)
+
+
 def table_of(spark: SparkSession, queries: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(list(queries.items()), "query_id string, query string")
 
@@ -120,20 +125,20 @@ def idf_terms(spark, sf_dir):
 
 
 def bm25_term_doc(spark, sf_dir):
-    return rounded(term_scores(index_of(spark, sf_dir), ["ononst", "inoran"]))
+    return rounded(term_scores(stored_index_of(spark, sf_dir, positions=False), ["ononst", "inoran"]))
 
 
 def ranked_by(terms, spark, sf_dir):
-    return rounded(search(terms, index_of(spark, sf_dir)))
+    return rounded(search(terms, stored_index_of(spark, sf_dir, positions=False)))
 
 
 def bm25_k1b_grid(spark, sf_dir):
-    return rounded(parameter_grid(table_of(spark, QUERIES), index_of(spark, sf_dir), [0.9, 1.2, 2.0], [0.0, 0.75, 1.0], 5))
+    return rounded(parameter_grid(table_of(spark, QUERIES), stored_index_of(spark, sf_dir, positions=False), [0.9, 1.2, 2.0], [0.0, 0.75, 1.0], 5))
 
 
 def bm25_batch(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
-    return rounded(search_batch(items, index_of(spark, sf_dir)))
+    return rounded(search_batch(items, stored_index_of(spark, sf_dir, positions=False)))
 
 
 # Structured retrieval
@@ -144,7 +149,7 @@ def matched(text, spark, sf_dir):
 
 
 def structured(text, spark, sf_dir):
-    return rounded(search_structured(text, index_of(spark, sf_dir)))
+    return rounded(search_structured(text, stored_index_of(spark, sf_dir)))
 
 
 def matched_bridge(spark, sf_dir):
@@ -162,7 +167,7 @@ def judgments(spark: SparkSession, sf_dir: str, queries: dict[str, str]) -> Data
 
 
 def evaluated(queries, structured_run, means, spark, sf_dir):
-    index = index_of(spark, sf_dir)
+    index = stored_index_of(spark, sf_dir, positions=structured_run)
     run = search_structured_batch(list(queries.items()), index, ScorerConfig(), 20) if structured_run else search_batch(table_of(spark, queries), index, ScorerConfig(), 20)
     rows, total = evaluate(table_of(spark, queries), run, judgments(spark, sf_dir, queries), 10, check=False)
     found = total if means else rows
@@ -180,7 +185,7 @@ def esci_grades(spark, sf_dir):
 
 def prep_titles(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("n"), F.when(F.col("p_partkey") % 7 == 0, F.lit("  ")).otherwise(F.col("p_name")).alias("title"))
-    return prepare_titles(part, "title", limit=100).select("product_id", "title")
+    return prepare_titles(part, "title").select("product_id", "title")
 
 
 def prep_esci_limit(spark, sf_dir):
@@ -364,6 +369,6 @@ def oracle_sql() -> dict[str, str]:
     found["eval_structured_per_query"] = f"{metrics_sql(STRUCTURED, structured_run_sql(20))} {PER_QUERY}"
     found["eval_structured_report"] = f"{metrics_sql(STRUCTURED, structured_run_sql(20))} {MEANS}"
     found["esci_grades"] = "SELECT doc_id, CAST(2 * quality + toxic AS INTEGER) AS relevance FROM labels"
-    found["prep_titles"] = "SELECT printf('flipkart-%06d', p_partkey) AS product_id, trim(p_name) AS title FROM part WHERE p_partkey % 7 <> 0 ORDER BY p_partkey LIMIT 100"
+    found["prep_titles"] = "SELECT printf('flipkart-%06d', p_partkey) AS product_id, trim(p_name) AS title FROM part WHERE p_partkey % 7 <> 0"
     found["prep_esci_limit"] = "SELECT printf('query-%06d', p_partkey % 40 + 1) AS query_id, CAST(p_partkey AS VARCHAR) AS product_id, trim(p_name) AS title, 'E' AS esci_label FROM part WHERE p_partkey % 40 + 1 <= 5"
     return found

@@ -52,6 +52,7 @@ class NotNode:
 
 QueryNode = TermNode | PhraseNode | NearNode | AndNode | OrNode | NotNode
 
+# The words and signs of the query language.
 LEXEME = re.compile(r'(?P<phrase>"[^"]*")|(?P<open>\()|(?P<close>\))|(?P<near>\bNEAR/\d+\b)|(?P<op>\b(?:AND|OR|NOT)\b)|(?P<term>[^\s()]+)')
 STRUCTURE = re.compile(r'["()]|\b(?:AND|OR|NOT|NEAR/\d+)\b')
 #: How tightly the infix operators bind.

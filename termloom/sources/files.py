@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.text import DEFAULT, TokenizerConfig
-from termloom.operators.index import SearchIndex
+from termloom.operators.index import SearchIndex, load_index
+from termloom.runtime import exists
 
 # Grades of the labels exact, substitute, complement and irrelevant.
 ESCI_GRADES = {"E": 3, "S": 2, "C": 1, "I": 0}
@@ -21,9 +22,13 @@ class PreparedFile:
     row_count: int
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings, header names trimmed, empty cells as empty strings; quotes inside quotes are doubled."""
-    rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """All columns as strings, header names trimmed, empty cells as empty strings; quotes inside quotes are doubled.
+
+    With line breaks inside quotes a file is one task's; without multi_line, for tables
+    that have none, files are split.
+    """
+    rows = spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"', inferSchema=False)
     named = rows.toDF(*(c.strip().removeprefix("﻿") for c in rows.columns))
     return named.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in named.columns))
 
@@ -94,3 +99,18 @@ def read_index_json(spark: SparkSession, path: str, config: TokenizerConfig = DE
     lists = row.select(F.explode("x.postings").alias("term", "list")).select("term", F.explode("list").alias("p"))
     postings = lists.select("term", "p.doc_id", F.col("p.term_frequency").alias("tf"), F.lit(None).cast("array<int>").alias("positions"))
     return SearchIndex(postings, row.select(F.explode("x.document_lengths").alias("doc_id", "dl")), config)
+
+
+def write_index(index: SearchIndex, path: str) -> None:
+    """As JSON if the path says so, else as Parquet."""
+    if path.endswith(".json"):
+        write_index_json(index, path)
+    else:
+        index.save(path)
+
+
+def open_index(spark: SparkSession, path: str, config: TokenizerConfig | None = None) -> SearchIndex:
+    """An index in either form. One in Parquet refuses a config that it was not built with; one in JSON names none."""
+    if exists(spark, f"{path}/postings"):
+        return load_index(spark, path, config)
+    return read_index_json(spark, path, config or DEFAULT)

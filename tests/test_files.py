@@ -1,7 +1,8 @@
 import pytest
 
 from termloom.cli import main, parser, run
-from termloom.operators.prep import prepare_amazon_esci, prepare_flipkart_titles
+from termloom.operators.prep import numbered, prepare_amazon_esci, prepare_flipkart_titles
+from termloom.operators.titles import CATEGORIES, make_titles
 from termloom.sources.files import read_csv, read_documents, read_qrels, read_queries, text_source, write_qrels
 from termloom.streaming.terms import running_frequencies
 
@@ -96,3 +97,38 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {tuple(r) for r in spark.table("freqs").collect()} == {("a", 1, 2), ("b", 2, 2)}
+
+
+def test_command_line_with_a_parquet_index(spark, tmp_path, capsys):
+    table = put(tmp_path / "t.csv", "product_id,title\nd1,Samsung wireless earbuds\nd2,phone case\nd3,samsung phone\nd4,usb cable\nd5,lamp\n")
+    queries = put(tmp_path / "q.csv", "query_id,query\nq1,samsung earbuds\n")
+    qrels = put(tmp_path / "r.csv", "query_id,doc_id,relevance\nq1,d1,3\nq1,d5,2\n")
+    out = str(tmp_path / "index")
+
+    def cli(*argv):
+        run(spark, parser().parse_args(list(argv)))
+        return capsys.readouterr().out
+
+    assert "unique_terms = 8" in cli("index", "--csv", table, "--output", out)
+    assert spark.read.parquet(f"{out}/postings").count() == 10
+    assert "d1  tf=1" in cli("lookup", "--index", out, "--term", "wireless")
+    assert "1. d1" in cli("search", "--index", out, "--query", "earbuds")
+    assert "MRR: 1.0000" in cli("eval", "--index", out, "--qrels", qrels, "--queries", queries)
+    with pytest.raises(ValueError, match="built with"):
+        cli("eval", "--index", out, "--qrels", qrels, "--queries", queries, "--drop-stopwords")
+    shown = cli("demo", "--csv", table, "--qrels", qrels, "--queries", queries)
+    assert "q1  1. d1" in shown and "Samsung wireless earbuds" in shown and "k=5" in shown and "q1  d5  relevance=2  lamp" in shown
+    assert "20 rows" in cli("make-titles", "--rows", "20", "--output", str(tmp_path / "titles"))
+
+
+def test_numbers_follow_the_input(spark):
+    made = numbered(spark.range(0, 1000, 1, 7).selectExpr("id * 3 AS v"))
+    assert sorted((r.n, r.v) for r in made.collect()) == [(i + 1, 3 * i) for i in range(1000)]
+
+
+def test_made_titles(spark):
+    found = make_titles(spark, 1000).collect()
+    assert len({r.product_id for r in found}) == 1000 and all(r.title.strip() for r in found)
+    assert {c: sum(r.category == c for r in found) for c in CATEGORIES} == {c: 2 * share for c, (share, *_) in CATEGORIES.items()}
+    assert sorted(found) == sorted(make_titles(spark, 1000).repartition(3).collect())
+    assert {r.title for r in found} != {r.title for r in make_titles(spark, 1000, seed=7).collect()}

@@ -1,9 +1,11 @@
 import math
+import random
+import time
 
 import pytest
 
 from termloom.functions.text import TokenizerConfig
-from termloom.operators.index import SearchIndex, build_index, hapax_ratio, index_summary, load_index, lookup, most_frequent, vocabulary, vocabulary_summary
+from termloom.operators.index import SearchIndex, build_index, hapax_ratio, index_summary, load_index, lookup, most_frequent, stored, vocabulary, vocabulary_summary
 from termloom.operators.ranking import ScorerConfig, idf_of, parameter_grid, search, search_batch, term_scores
 from termloom.operators.structured import retrieve, search_structured, search_structured_batch
 from termloom.plans.query import AndNode, NearNode, NotNode, OrNode, PhraseNode, QueryParseError, TermNode, parse_query, terms_of
@@ -250,3 +252,38 @@ def test_ranks_ignore_noise_beyond_nine_decimals(spark):
 
     scores = spark.createDataFrame([("q", "b", 0.1 + 0.2), ("q", "a", 0.3)], "query_id string, doc_id string, score double")
     assert [r.doc_id for r in ranked(scores, 2).orderBy("rank").collect()] == ["a", "b"]
+
+
+def test_proximity_equals_brute_force(spark):
+    r = random.Random(8)
+    docs = [(f"d{i}", " ".join(r.choices("a b c d e".split(), k=r.randint(0, 30)))) for i in range(60)]
+    index = build_index(spark.createDataFrame(docs, "doc_id string, text string"))
+    for text, holds in (
+        ("a NEAR/2 b", lambda w: any(x == "a" and y == "b" and abs(i - j) <= 2 for i, x in enumerate(w) for j, y in enumerate(w))),
+        ("c NEAR/1 c", lambda w: "c" in w),
+        ('"a b a"', lambda w: any(w[i : i + 3] == ["a", "b", "a"] for i in range(len(w)))),
+        ('"e"', lambda w: "e" in w),
+    ):
+        assert {x.doc_id for x in retrieve(parse_query(text), index).collect()} == {i for i, t in docs if holds(t.split())}, text
+
+
+def test_proximity_of_frequent_terms_is_linear(spark):
+    text = " ".join(["a"] * 60_000 + ["x"] * 10 + ["b"] * 60_000)
+    index = build_index(spark.createDataFrame([("d", text)], "doc_id string, text string"))
+    began = time.perf_counter()
+    assert retrieve(parse_query("a NEAR/11 b"), index).count() == 1
+    assert retrieve(parse_query("a NEAR/10 b"), index).count() == 0
+    assert retrieve(parse_query('"a b"'), index).count() == 0
+    assert time.perf_counter() - began < 60
+
+
+def test_a_stored_index_ranks_as_a_lazy_one(spark):
+    docs = spark.createDataFrame([("1", "a b a"), ("2", "b c"), ("3", ""), ("4", "c a")], "doc_id string, text string")
+    lazy = build_index(docs)
+    queries = spark.createDataFrame([("q", "a c"), ("r", "b b")], "query_id string, query string")
+    for positions in (True, False):
+        kept = stored(lazy, positions)
+        assert kept.stats().first() == lazy.stats().first()
+        assert sorted(kept.terms().collect()) == sorted(lazy.terms().collect())
+        assert sorted(kept.doc_lengths.collect()) == sorted(lazy.doc_lengths.collect())
+        assert sorted(search_batch(queries, kept).collect()) == sorted(search_batch(queries, lazy).collect())
