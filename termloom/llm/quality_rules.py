@@ -26,7 +26,8 @@ from __future__ import annotations
 import base64
 import re
 from bisect import bisect_right
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -39,16 +40,16 @@ SYMBOLS = "#*$%&|<>"
 LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "nl", "pl", "sv", "cs", "ru", "uk", "el", "tr", "ar", "fa", "he", "hi", "th", "vi", "id", "zh", "ja", "ko")
 #: First code points of the blocks that name a script, in ascending order.
 SCRIPTS = ((0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "indic"), (0xE00, "thai"), (0x1100, "hangul"), (0x1E00, "latin"), (0x3040, "kana"), (0x3400, "han"), (0xAC00, "hangul"), (0xD800, "other"))
-#: Words whose ids a worker keeps (two generations of so many).
-CACHE_ENTRIES = 200_000
+#: Words whose ids a worker keeps, and those of one block more.
+CACHE_ENTRIES = 500_000
 MOST_CLASS = 20
 WORD_LINE = re.compile(r"[^\x20\x09-\x0D]").search
 ASCII_LETTER = re.compile(r"[A-Za-z]").search
 STARTS = [first for first, _ in SCRIPTS]
 
 
-def base_measures(text: str | None, words: list[bytes]) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text and its words."""
+def base_measures(text: str | None, words: list[bytes], numbers: np.ndarray | None = None) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text and its words; numbers: one for each word, equal where the words are."""
     n = len(words)
     if not n:
         return 0, 0, sum(map(text.count, SYMBOLS)) if text else 0, 0, 0
@@ -56,25 +57,24 @@ def base_measures(text: str | None, words: list[bytes]) -> tuple[int, int, int,
     chars = len(joined) if text.isascii() else len(joined.decode())
     symbols = sum(map(text.count, SYMBOLS))
     lines = [line for line in text.split("\n") if WORD_LINE(line)] if "\n" in text else []
-    return n, chars, symbols, len(lines) - len(set(lines)), repeated_words(words)
+    if numbers is None:
+        known: dict[bytes, int] = {}
+        numbers = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
+    return n, chars, symbols, len(lines) - len(set(lines)), repeated_words(numbers)
 
 
-def repeated_words(words: list[bytes]) -> int:
+def repeated_words(numbers: np.ndarray) -> int:
     """Words covered by the 3-word windows that occur twice or more."""
-    n = len(words)
+    n = len(numbers)
     if n < 4:
         return 0
-    known: dict[bytes, int] = {}
-    put = known.setdefault
-    ids = np.array([put(w, len(known)) for w in words], np.int64)
-    v = len(known)
-    if v == n:
-        return 0
+    v = int(numbers.max()) + 1
     if v < 1 << 21:
-        windows = (ids[:-2] * v + ids[1:-1]) * v + ids[2:]
+        windows = (numbers[:-2] * v + numbers[1:-1]) * v + numbers[2:]
     else:
-        _, pairs = np.unique(ids[:-1] * v + ids[1:], return_inverse=True)
-        windows = pairs[:-1] * v + ids[2:]
+        _, numbers = np.unique(numbers, return_inverse=True)
+        _, pairs = np.unique(numbers[:-1] * len(numbers) + numbers[1:], return_inverse=True)
+        windows = pairs[:-1] * len(numbers) + numbers[2:]
     order = np.argsort(windows, kind="stable")
     ordered = windows[order]
     same = ordered[1:] == ordered[:-1]
@@ -105,66 +105,96 @@ def script_of(text: str) -> str:
     return min((name for name, n in counts.items() if n == most), key=order.index) if most else "none"
 
 
-def piece_model(path: str):
-    """encode(words) of a vocabulary of pieces, and which of its ids are byte fallbacks."""
+Encoder = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+
+
+def piece_model(path: str) -> tuple[Encoder, np.ndarray]:
+    """A vocabulary of pieces: (the ids of words one after the other, the number of each word's), and which ids are byte fallbacks."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return model.encode, np.array([model.is_byte(i) for i in range(model.get_piece_size())])
 
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = model.encode([w.decode(errors="replace") for w in words])
+        return np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+
+    return encode, np.array([model.is_byte(i) for i in range(model.get_piece_size())])
 
-def rank_model(path: str):
-    """The same of a byte-level vocabulary of ranks; words are encoded as after a space, without being split further."""
+
+def rank_model(path: str) -> tuple[Encoder, np.ndarray]:
+    """The same of a byte-level vocabulary of ranks; each word is encoded as after a space, without being split further."""
     import tiktoken
 
     with open(path, "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    model = tiktoken.Encoding(path, pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-    fallback = np.zeros(max(ranks.values()) + 1, bool)
+    model = tiktoken.Encoding(path, pat_str=r" [^ ]+", mergeable_ranks=ranks, special_tokens={})
+    size, fallback = np.zeros(max(ranks.values()) + 1, np.int64), np.zeros(max(ranks.values()) + 1, bool)
     for token, rank in ranks.items():
+        size[rank] = len(token)
         try:
             token.decode()
         except UnicodeDecodeError:
             fallback[rank] = True
-    return lambda words: [model.encode_ordinary(f" {w}") for w in words], fallback
 
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        raw = [w.decode(errors="replace").encode() for w in words]
+        ids = np.array(model.encode_ordinary(b"".join([b" " + w for w in raw]).decode()), np.int32)
+        # Tokens and words in bytes: a word ends where a token does.
+        ends = np.searchsorted(np.cumsum(size[ids]), np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)) + 1
+        return ids, np.diff(np.r_[0, ends])
+
+    return encode, fallback
 
-class Vocabulary:
-    """Tokenises words one by one, each as after a space, and keeps the ids of recent words."""
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
-        self.encode, self.byte = (piece_model if path.endswith(".model") else rank_model)(path)
+class Vocabularies:
+    """Tokenises words one by one, each as after a space. Words have numbers; for each vocabulary their ids stand one after the other."""
+
+    def __init__(self, paths: Sequence[str], entries: int = CACHE_ENTRIES):
+        self.models = [(piece_model if path.endswith(".model") else rank_model)(path) for path in paths]
         self.entries = entries
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.ids = [np.empty(0, np.int32) for _ in self.models]
+        self.counts = [np.empty(0, np.int64) for _ in self.models]
+        self.starts = [np.empty(0, np.int64) for _ in self.models]
 
     def learn(self, texts: list[list[bytes]]) -> None:
-        if len(self.new) >= self.entries:
-            self.old, self.new = self.new, {}
-        missing = set().union(*texts).difference(self.new)
-        for word in [w for w in missing if w in self.old]:
-            self.new[word] = self.old[word]
-            missing.discard(word)
-        words = list(missing)
-        for word, ids in zip(words, self.encode([w.decode(errors="replace") for w in words]), strict=True):
-            self.new[word] = np.array(ids, np.int32).tobytes()
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.new.__getitem__, words)), np.int32)
-
-    def fertility(self, words: list[bytes], n_chars: int) -> tuple[float, float, float]:
-        """Characters per token, byte-fallback share and relative token entropy; a text without tokens has 0, 0 and 0."""
-        ids = np.sort(self.ids(words))
-        n = len(ids)
-        if not n:
-            return 0.0, 0.0, 0.0
-        counts = np.diff(np.r_[0, np.flatnonzero(ids[1:] != ids[:-1]) + 1, n]) / n
-        entropy = float(-(counts * np.log2(counts)).sum())
-        return n_chars / n, float(self.byte[ids].mean()), entropy / float(np.log2(n)) if n > 1 else 0.0
-
-
-def vocabularies(paths: tuple[str, ...]) -> list[Vocabulary]:
-    return resident(__name__, paths, lambda: [Vocabulary(path, CACHE_ENTRIES // len(paths)) for path in paths])
+        """Number the words of a block of texts; a full table is begun anew."""
+        if len(self.number) >= self.entries:
+            self.forget()
+        words = list(set().union(*texts).difference(self.number))
+        if not words:
+            return
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        for k, (encode, _) in enumerate(self.models):
+            ids, counts = encode(words)
+            self.ids[k], self.counts[k] = np.concatenate([self.ids[k], ids]), np.concatenate([self.counts[k], counts])
+            self.starts[k] = np.cumsum(self.counts[k]) - self.counts[k]
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def fertility(self, numbers: np.ndarray, n_chars: int) -> list[float]:
+        """For each vocabulary characters per token, byte-fallback share and relative token entropy; a text without tokens has 0, 0 and 0."""
+        out: list[float] = []
+        for k, (_, fallback) in enumerate(self.models):
+            counts = self.counts[k][numbers]
+            ends = np.cumsum(counts)
+            n = int(ends[-1]) if len(ends) else 0
+            if not n:
+                out += [0.0, 0.0, 0.0]
+                continue
+            ids = np.sort(self.ids[k][np.repeat(self.starts[k][numbers] - ends + counts, counts) + np.arange(n)])
+            shares = np.diff(np.r_[0, np.flatnonzero(ids[1:] != ids[:-1]) + 1, n]) / n
+            entropy = float(-(shares * np.log2(shares)).sum())
+            out += [n_chars / n, float(fallback[ids].mean()), entropy / float(np.log2(n)) if n > 1 else 0.0]
+        return out
+
+
+def vocabularies(paths: tuple[str, ...]) -> Vocabularies:
+    return resident(__name__, paths, lambda: Vocabularies(paths))
 
 
 KINDS = ("chars_per_token", "fallback_share", "token_entropy")
@@ -186,12 +216,12 @@ def measures(docs: DataFrame, paths: tuple[str, ...], id_column: str = "doc_id",
             ids, texts, langs = columns
             rows = []
             split = [t.encode().split() if t else [] for t in texts]
-            for model in models:
-                model.learn(split)
+            models.learn(split)
             for text, words, lang in zip(texts, split, langs, strict=True):
-                base = base_measures(text, words)
-                rows.append((*base, lang if lang in own else None, script_of(text or ""), *(x for m in models for x in m.fertility(words, base[1]))))
-            return [ids, *(map(list, zip(*rows, strict=True)) if rows else [[]] * (7 + 3 * len(models)))]
+                numbers = models.numbers(words)
+                base = base_measures(text, words, numbers)
+                rows.append((*base, lang if lang in own else None, script_of(text or ""), *models.fertility(numbers, base[1])))
+            return [ids, *(map(list, zip(*rows, strict=True)) if rows else [[]] * (7 + 3 * len(paths)))]
 
         return block
 
