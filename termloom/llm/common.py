@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
 from collections.abc import Callable, Iterator, Sequence
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.runtime import ship_package
+from termloom.runtime import delete, ship_package, work_path
 
 ARROW_TYPES = {
     "bigint": pa.int64(),
@@ -33,38 +30,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; a folder of our own only where none is set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = set_before.get() if set_before.isDefined() else tempfile.mkdtemp(prefix="termloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str) -> None:
+    """Write df as Parquet; the shuffle files of its plan, of no use afterwards, are deleted when it has been written."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
+
+
+#: Where the frames that cut() has given are, while they are alive.
+PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df once as Parquet in the shared folder and continue from the files.
 
     Unlike an eager checkpoint() it computes its input once, is compressed, and gives the
-    optimizer true sizes.
+    optimizer true sizes. The files stay until clear_work(), or until discard() where
+    nothing reads them any more.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/termloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are no longer in use.
-
-    Python's references to a plan are given back a moment after they are collected, so
-    the JVM sees them gone in the second round only.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+    path = work_path(spark)
+    write(df, path)
+    found = spark.read.schema(df.schema).parquet(path)
+    PATHS[found] = path
+    return found
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the files of frames that cut() has given, when no frame that is still in use reads them."""
+    for frame in frames:
+        if frame is not None and frame in PATHS:
+            delete(frame.sparkSession, PATHS.pop(frame))
 
 
 def ddl(schema: Schema) -> str:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.llm.common import arrow_map, cut, documents, release
+from termloom.llm.common import arrow_map, cut, discard, documents
 
 #: One document in so many is counted for the order of the shingles.
 SAMPLE = 16
@@ -211,7 +211,8 @@ def components(edges: DataFrame) -> DataFrame:
     graph = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
-        graph = cut(star(star(graph, True), False))
+        old, graph = graph, cut(star(star(graph, True), False))
+        discard(old)
         state = graph.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
             break
@@ -297,17 +298,15 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
 
     n_links: the other ids with an equal set or one that links; left out without count_links.
     """
-    spark = docs.sparkSession
     source = documents(docs, id_column, text_column)
     signed = cut(signatures(source, width, percent))
-    release(spark)
     classes = classes_of(signed)
     lists = cut(shared_entries(classes, percent))
     bits = cut(classes.select("rep", "n", "bits").join(lists.select("rep").distinct(), "rep", "left_semi"))
-    release(spark)
     answers: DataFrame | None = None
     sets: DataFrame | None = None
     links: DataFrame | None = None
+    kept = [lists, bits]
     for turn in range(LEADER_ROUNDS + 1):
         now = lists.withColumn("comp", F.col("rep")) if links is None else cut(labelled(lists, links))
         pairs = leader_pairs(now, turn, percent) if turn < LEADER_ROUNDS else remaining_pairs(now, answers, percent)
@@ -317,13 +316,17 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
         needed = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
         if sets is not None:
             needed = needed.join(sets.select("rep"), "rep", "left_anti")
-        more = cut(sets_of(source, cut(needed), width))
+        needed = cut(needed)
+        more = cut(sets_of(source, needed, width))
+        kept.append(more)
         sets = more if sets is None else sets.unionByName(more)
         found = cut(overlaps(pairs, sets, percent))
+        kept.append(found)
+        discard(needed, pairs, now if links is not None else None)
         answers = found if answers is None else answers.unionByName(found)
         links = answers.where("linked").select("a", "b")
-        release(spark)
     labels = cut(components(links))
+    discard(*kept)
     named = classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     columns = [F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")]
     if not count_links:

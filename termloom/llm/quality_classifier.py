@@ -45,7 +45,7 @@ UPPER, DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 
 def share(raw: bytes, of: bytes) -> float:
     """The share of a text's bytes that are among others."""
-    return 1 - len(raw.translate(None, of)) / len(raw)
+    return (len(raw) - len(raw.translate(None, of))) / len(raw)
 
 
 def feature_of(word: bytes) -> int:

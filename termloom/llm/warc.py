@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import gzip
 import re
-import uuid
 from base64 import b16decode, b32encode
 from dataclasses import dataclass
 from hashlib import sha1, sha256
@@ -23,7 +22,8 @@ from hashlib import sha1, sha256
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm.common import arrow_map, cut, release, shared_folder
+from termloom.llm.common import arrow_map, cut, write
+from termloom.runtime import work_path
 
 #: Records carry this date unless the caller names another; an archive is the same each time it is written.
 DATE = "2000-01-01T00:00:00Z"
@@ -86,13 +86,12 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0, id_column:
         return block
 
     archive = Archive(f"{folder}/headers", f"{folder}/payloads")
-    arrow_map(typed, make, [("page_id", "bigint"), ("address", "string"), ("header", "binary")], rows=4096).write.parquet(archive.headers)
-    release(pages.sparkSession)
+    write(arrow_map(typed, make, [("page_id", "bigint"), ("address", "string"), ("header", "binary")], rows=4096), archive.headers)
     repeated = not firsts.where("n > 1").isEmpty()
     own = firsts.select(F.col("address").alias("own"), "first_id")
     once = records.join(own, (F.col("address") == F.col("own")) & F.col("page_id").eqNullSafe(F.col("first_id")), "left_semi").select("address", "payload")
     # Each address has one first row, unless whole rows are repeated: only then a second shuffle makes them one.
-    (once.dropDuplicates(["address"]) if repeated else once).write.parquet(archive.payloads)
+    write(once.dropDuplicates(["address"]) if repeated else once, archive.payloads)
     return archive
 
 
@@ -133,9 +132,7 @@ def verified_records(spark: SparkSession, archive: Archive) -> DataFrame:
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write an archive in the shared folder and read every record back."""
     spark = pages.sparkSession
-    folder = f"{shared_folder(spark)}/termloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    archive = write_archive(pages, folder, min_bytes)
-    release(spark)  # the shuffle of the payloads, before they are shuffled again
+    archive = write_archive(pages, work_path(spark), min_bytes)
     return verified_records(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

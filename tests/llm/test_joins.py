@@ -60,6 +60,35 @@ def test_join_equals_brute_force(spark, seed):
     assert {i: (g.n_shingles, g.component_id) for i, g in got.items()} == naive_components(dict(enumerate(texts)))
 
 
+def naive_links(texts, width, percent):
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+
+    sets = {i: shingles(t) for i, t in texts.items()}
+    return {a: sum(a != b and bool(s) and bool(sets[b]) and 100 * len(s & sets[b]) >= percent * len(s | sets[b]) for b in sets) for a, s in sets.items()}
+
+
+@pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
+def test_numbers_of_links_equal_brute_force(spark, width, percent):
+    """Groups of near and equal copies, among them halves of a group that share a change."""
+    r = random.Random(width)
+    base = r.choices([f"v{i}" for i in range(500)], k=120)
+    halves = []
+    for half in range(2):
+        shared = list(base)
+        if half:
+            shared[40:43] = ["p", "q", "r"]
+        for _ in range(20):
+            w = list(shared)
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = f"x{r.randint(0, 9)}"
+            halves.append(" ".join(w))
+    texts = [*near_copies(5), *halves, halves[0], halves[0], None, ""]
+    got = by_id(jaccard_components(documents(spark, texts), width, percent))
+    assert {i: g.n_links for i, g in got.items()} == naive_links(dict(enumerate(texts)), width, percent)
+
+
 def test_join_edges(spark):
     found = jaccard_components(edge_documents(spark)).collect()
     assert len(found) == len(EDGES) + 2

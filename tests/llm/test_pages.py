@@ -1,3 +1,9 @@
+import random
+import time
+from collections import Counter
+
+import pytest
+
 from tests.llm.helpers import base32_sha1
 from termloom.llm.html_extraction import Page, extract_main_text
 from termloom.llm.warc import archive_round_trip, original_records, parse_file, parse_header, read_warc_files, write_archive
@@ -53,6 +59,53 @@ def test_templates_of_a_host_go(spark):
     assert extract_main_text(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_templates_equal_a_plain_counter(spark):
+    """Pages of unmarked boxes: those that recur on a host's distinct pages go, by counting strings."""
+    r = random.Random(2)
+    pages, n = [], 0
+    for host, size in (("a", 40), ("b", 12), ("c", 3), ("d", 25)):
+        shared = [f"box {host} {k}" for k in range(6)]
+        for _ in range(size):
+            boxes = r.sample(shared, r.randint(0, 4)) + [f"own {n}"] * r.randint(0, 1)
+            r.shuffle(boxes)
+            for _ in range(r.choice([1, 1, 1, 5])):
+                pages.append((n, host, boxes))
+                n += 1
+    counts, sizes = Counter(), Counter()
+    for host, boxes in {(h, tuple(b)) for _, h, b in pages}:
+        sizes[host] += 1
+        counts.update((host, box) for box in set(boxes))
+    rows = [(i, f"http://{h}/{i}", "<body>" + "".join(f"<div><span>{b}</span></div>" for b in boxes) + "</body>", "x", "y", 1) for i, h, boxes in pages]
+    frame = spark.createDataFrame(rows, f"{PAGES}, host string, digest string, text int")
+    want = {i: "\n".join(b for b in boxes if counts[h, b] < max(5, 0.1 * sizes[h])) for i, h, boxes in pages}
+    for most in (200_000, 0):  # templates broadcast, and joined by a shuffle
+        got = {x.page_id: x for x in extract_main_text(frame, broadcast_templates=most).collect()}
+        assert {i: x.text for i, x in got.items()} == want
+        assert sum(x.n_deleted > 0 for x in got.values()) > 30
+
+
+def test_slots_of_hinted_elements_need_a_second_sign(spark):
+    def page(i, inner):
+        return f"<body><div><p>Own text {i}</p></div>{inner}</body>"
+
+    rows = [(i, f"http://big.example/{i}", page(i, f'<div class="site-banner">Banner of {i}</div>')) for i in range(12)]
+    rows.append((50, "http://big.example/50", page(50, '<div class="share-price">The share price rose</div>')))
+    rows.append((51, "http://small.example/51", page(51, '<div class="site-banner">Banner</div>')))
+    rows.append((60, "http://news.example/60", '<article><p>One</p><div class="share-price"><p>The share price rose</p></div><div class="share-box"><a href=x>Tell</a> <a href=y>Send</a></div><div class="comment">A comment by the author</div></article>'))
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[3] == "Own text 3"
+    assert got[50] == "Own text 50\nThe share price rose"  # seen on one page only
+    assert got[51] == "Own text 51"  # too few pages to count
+    assert got[60] == "One\nThe share price rose\nA comment by the author"
+
+
+@pytest.mark.parametrize("make", [lambda n: "<div>" * n + "x" + "</div>" * n, lambda n: "".join(f"<div>t{i}" for i in range(n)), lambda n: "<a " * n, lambda n: "<a " * n + ">", lambda n: "<p 'x>a" * n, lambda n: '<a b="" c=">' * n, lambda n: "<a \"'>" * n, lambda n: "<ul><li><table>" + "<div>" * n + "<li></li>" * n, lambda n: "<div>" * n + "</p></section>" * n, lambda n: "<!--" * n, lambda n: "<article>" + "<div class=share><a>x</a>" * n])
+def test_time_follows_the_length(make):
+    began = time.perf_counter()
+    Page(make(100_000)).main_text()
+    assert time.perf_counter() - began < 20
+
+
 def test_paragraphs_of_articles_stay(spark):
     rows = [(i, f"http://h.example/{i}", f"<nav>Home</nav><article><h1>T{i}</h1><p>A passage that all quote.</p></article>") for i in range(10)]
     got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, PAGES)).collect()}
@@ -74,6 +127,12 @@ def test_archive_round_trip(spark):
     assert all(r.record_type == "response" or r.payload_bytes >= 5 for r in archive_round_trip(spark.createDataFrame(ROWS, PAGES), min_bytes=5).collect())
 
 
+def test_archive_ignores_further_columns(spark):
+    rows = [(*r, "h", "d", b"p", 1) for r in ROWS]
+    frame = spark.createDataFrame(rows, f"{PAGES}, host string, digest string, payload binary, n_bytes int")
+    assert sorted(map(tuple, archive_round_trip(frame).collect()), key=repr) == sorted(map(tuple, archive_round_trip(spark.createDataFrame(ROWS, PAGES)).collect()), key=repr)
+
+
 def test_payloads_are_stored_once_and_records_rebuilt(spark, tmp_path):
     archive = write_archive(spark.createDataFrame(ROWS, PAGES), str(tmp_path / "archive"))
     assert spark.read.parquet(archive.payloads).count() == 4

@@ -1,5 +1,6 @@
 import base64
 import random
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -47,6 +48,18 @@ def test_replay_equals_the_library():
         assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_block(block)] == [lib.encode_ordinary(t) for t in block]
 
 
+def test_long_pieces_are_replayed_in_proportion():
+    own, lib, r = MergeReplay(RANKS, P.PATTERN), library(), random.Random(3)
+    for n in (100_000, 1_000_000):
+        for text in ("a" * n, "=" * n, "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))):
+            began = time.perf_counter()
+            ids = own.encode_block([text])[0]
+            assert time.perf_counter() - began < 30
+            assert own.decode(ids) == text.encode()
+            if n == 100_000:
+                assert np.frombuffer(ids, "<u4").tolist() == lib.encode_ordinary(text)
+
+
 def test_replay_with_a_merge_that_makes_a_lower_one(tmp_path):
     """Ranks whose parts come later than the whole: the order of merges inside a word decides."""
     tokens = [bytes([b]) for b in range(256)] + [b"abc", b"bc", b"cab", b"ca", b"bcab"]
