@@ -5,8 +5,10 @@ pairs that have a merge; the pair of the lowest rank is popped, its right symbol
 unlinked from a doubly linked list, and the two new neighbours enter the heap. The
 number of tokens is the number of initial symbols minus the number of merges.
 
-Null and empty texts have 0 bytes and 0 tokens. Repeated rows give repeated results.
-A special string inside a text counts as one token, as the library's default does.
+Null and empty texts have 0 bytes and 0 tokens; an empty table gives an empty table. Texts
+and words of any length are counted whole. Of equal pairs in a pre-token the leftmost is
+merged first. Repeated rows give repeated results. Further columns, whatever their names,
+are not read. A special string inside a text counts as one token, as the library's default does.
 """
 
 from __future__ import annotations

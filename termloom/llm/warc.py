@@ -8,22 +8,29 @@ is hashed again and must match both its address and the SHA-1 that its header na
 Of the records with equal payloads that with the smallest page_id is the response, the
 others are revisits of it. A null payload is an empty one; a null url gives a header
 without a target; rows that repeat page_id and payload are all responses; null ids are
-never the smallest where there are others. Control characters in a url are escaped.
+never the smallest where there are others. Control characters in a url are escaped. An
+empty table makes an empty archive. Payloads of any length are hashed and stored whole.
+Further columns, whatever their names, are not read.
+
+The block of a response is the html alone, without an HTTP head, as its source has none.
+Record ids name the page_id, so they are as unique as it is.
 """
 
 from __future__ import annotations
 
 import gzip
+import io
 import re
 from base64 import b16decode, b32encode
 from dataclasses import dataclass
 from hashlib import sha1, sha256
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm.common import arrow_map, cut, write
-from termloom.runtime import work_path
+from termloom.runtime import ship_package, work_path
 
 #: Records carry this date unless the caller names another; an archive is the same each time it is written.
 DATE = "2000-01-01T00:00:00Z"
@@ -52,7 +59,7 @@ def header_block(page_id: int | None, url: str | None, digest: str, n_bytes: int
 
 def parse_header(block: bytes) -> dict[str, str]:
     """The fields of a header block, names in lower case."""
-    lines = block.decode().split("\r\n")
+    lines = re.split("\r?\n", block.decode())
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC header")
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:] if line)}
@@ -137,27 +144,44 @@ def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def parse_file(data: bytes):
-    """(fields, block) of each record in the bytes of a WARC file, gzipped or not."""
+    """(fields, block) of each record in the bytes of a WARC file, gzipped or not; it is decompressed record by record."""
+    file = io.BytesIO(data)
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", start)
-        fields = parse_header(data[start:end])
-        size = int(fields.get("content-length", 0))
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        file = gzip.GzipFile(fileobj=file)
+    while line := file.readline():
+        if not line.startswith(b"WARC/"):
+            continue
+        header = [line]
+        while (line := file.readline()) not in (b"\r\n", b"\n", b""):
+            header.append(line)
+        fields = parse_header(b"".join(header))
+        yield fields, file.read(int(fields.get("content-length", 0)))
 
 
-def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
-    """record_id, record_type, url and block of every record of .warc or .warc.gz files; a file is one task's unit."""
+#: Bytes of blocks that go to the JVM together, about.
+BATCH_BYTES = 8_000_000
 
-    def make():
-        def block(columns):
-            rows = [(f.get("warc-record-id"), f.get("warc-type"), f.get("warc-target-uri"), b) for (data,) in zip(*columns, strict=True) for f, b in parse_file(data)]
-            return list(map(list, zip(*rows, strict=True))) if rows else [[]] * 4
 
-        return block
+def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
+    """record_id, record_type, url and block of every record of .warc or .warc.gz files.
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return arrow_map(files, make, [("record_id", "string"), ("record_type", "string"), ("url", "string"), ("block", "binary")], rows=1)
+    A file is one row that is read by one task, so it may have 2 GB at most; its records
+    are passed on in batches as they are parsed.
+    """
+    schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("block", pa.binary())])
+
+    def run(batches):
+        rows, size = [], 0
+        for batch in batches:
+            for content in batch.column(0):
+                for fields, block in parse_file(content.as_py()):
+                    rows.append((fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-target-uri"), block))
+                    size += len(block)
+                    if size >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), schema.types)], schema=schema)
+                        rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), schema.types)], schema=schema)
+
+    ship_package(spark)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "record_id string, record_type string, url string, block binary")
