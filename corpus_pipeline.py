@@ -5,13 +5,14 @@ documents, the last one the encoded corpus. run() applies them to the documents
 each stage to all that the one before has kept.
 
 1. quality_rules: documents that the base rules or the fertility bands reject go.
-2. ngram_jaccard_join: of each group of near duplicates the smallest doc_id stays.
+2. ngram_jaccard_join: of each group of near duplicates (shingles of five words, similar from 0.8 on) the smallest doc_id stays.
 3. benchmark_decontamination: documents with a passage of a benchmark item go.
 4. pii: personal data in the texts is replaced by the name of its kind; n_chars follows.
 5. byte_bpe: token counts and digests of the byte-level BPE ids, and of the decoded text.
 
 Rows that share a doc_id are one document: they stay or go together. Null and empty
-texts fail the quality rules; an empty table gives an empty table at every stage.
+texts fail the quality rules; an empty table gives an empty table at every stage. Texts of
+any length are read whole. Further columns of documents are dropped by the first stage.
 """
 
 from __future__ import annotations
@@ -21,15 +22,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm.byte_bpe import round_trip
-from termloom.llm.common import cut, table
+from termloom.llm.common import cut, discard, table
 from termloom.llm.decontamination import decontaminate
 from termloom.llm.jaccard_join import jaccard_components
 from termloom.llm.pii import mask_pii
 from termloom.llm.quality_rules import quality_rules
+from termloom.llm.queries import VOCABULARIES
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Ids of documents to drop that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Near duplicates: words of a shingle, and the similarity in percent.
+WIDTH, PERCENT = 5, 80
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -42,13 +46,13 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    judged = quality_rules(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    judged = quality_rules(docs, [public_tokenizers.path(name) for name in VOCABULARIES])
     return without(docs, judged.where(~F.col("kept")))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    return without(docs, jaccard_components(docs).where("component_id != doc_id"))
+    return without(docs, jaccard_components(docs, WIDTH, PERCENT, count_links=False).where("component_id != doc_id"))
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,7 +84,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = cut(docs)
+            discard(before)
     return docs
