@@ -112,6 +112,16 @@ def tokens(text: Column, config: TokenizerConfig = DEFAULT) -> Column:
     return F.transform(out, stem) if config.stemming == "suffix" else out
 
 
+def lookup_form(term: Column) -> Column:
+    """A term as look-ups take it: without white space around it, in lower case."""
+    return F.lower(F.regexp_replace(term, r"^\s+|\s+$", ""))
+
+
+def search_form(query: Column) -> Column:
+    """array<string>: a plain query as searches take it, in lower case and split at white space; signs inside of words stay."""
+    return F.filter(F.split(lookup_form(query), r"\s+"), lambda t: t != "")
+
+
 def stem_token(token: str) -> str:
     if len(token) <= 3:
         return token

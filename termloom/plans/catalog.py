@@ -8,14 +8,16 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.functions.text import STOPWORDS, SUFFIXES, TokenizerConfig, normalized_text, term_counts, tokenize_documents
-from termloom.operators.evaluation import evaluate
+from termloom.functions.text import STOPWORDS, SUFFIXES, TokenizerConfig, lookup_form, normalized_text, search_form, term_counts, tokenize_documents
+from termloom.operators.evaluation import demo, evaluate
 from termloom.operators.index import SearchIndex, build_index, hapax_ratio, index_summary, lookup, most_frequent, stored, vocabulary, vocabulary_summary
 from termloom.operators.prep import prepare_esci, prepare_titles
 from termloom.operators.ranking import ScorerConfig, idf_of, parameter_grid, search, search_batch, term_scores
-from termloom.operators.structured import retrieve, search_structured, search_structured_batch
-from termloom.plans.query import parse_query
-from termloom.sources.files import esci_grade
+from termloom.operators.structured import retrieve, search_structured, search_structured_batch, structured_tree
+from termloom.operators.titles import CATEGORIES, make_titles
+from termloom.plans.query import QueryParseError, parse_query
+from termloom.runtime import work_path
+from termloom.sources.files import esci_grade, read_csv, read_documents, read_index_json, read_qrels, read_queries, text_source, write_csv, write_index_json, write_qrels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -180,6 +182,94 @@ def esci_grades(spark, sf_dir):
     return labels.select("doc_id", esci_grade(label).alias("relevance"))
 
 
+def eval_gaps(spark, sf_dir):
+    """The demonstration's third part: judged documents that the first five results miss."""
+    found = demo(documents(spark, sf_dir), table_of(spark, QUERIES), judgments(spark, sf_dir, QUERIES)).missed
+    return found.select("query_id", "doc_id", "relevance", F.length("text").alias("n_chars"))
+
+
+# Files
+
+
+def csv_round_trip(spark, sf_dir):
+    """documents as a CSV table, written and read."""
+    path = work_path(spark)
+    write_csv(documents(spark, sf_dir), path, ["doc_id", "text"])
+    return read_documents(spark, path, "text", "doc_id")
+
+
+def csv_rows(spark, sf_dir):
+    path = work_path(spark)
+    write_csv(spark.read.parquet(f"{sf_dir}/part.parquet"), path, ["p_partkey", "p_name"])
+    return read_csv(spark, path)
+
+
+def qrels_round_trip(spark, sf_dir):
+    path = work_path(spark)
+    write_qrels(judgments(spark, sf_dir, QUERIES), path)
+    return read_qrels(spark, path)
+
+
+def queries_round_trip(spark, sf_dir):
+    path = work_path(spark)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    write_csv(items, path, ["item_id", "text"])
+    return read_queries(spark, path, "item_id", "text")
+
+
+def titles_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    return build_index(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_name", "p_partkey", check_ids=False)
+
+
+def index_json_round_trip(spark, sf_dir):
+    """An index of titles as JSON, written and read."""
+    path = work_path(spark)
+    write_index_json(titles_index(spark, sf_dir), path)
+    return read_index_json(spark, path).postings.select("term", "doc_id", "tf")
+
+
+def index_parquet_round_trip(spark, sf_dir):
+    kept = stored(index_of(spark, sf_dir))
+    return kept.terms().crossJoin(F.broadcast(kept.stats().select("document_count", "total_terms")))
+
+
+def literal_texts(spark, sf_dir):
+    return text_source(spark, "Red Phone", "", "blue case")
+
+
+# Queries as they are typed
+
+
+def lookup_forms(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", lookup_form(F.concat(F.lit("  "), F.col("text"), F.lit(" "))).alias("form"))
+
+
+def search_forms(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.array_join(search_form("text"), "|").alias("terms"))
+
+
+def query_errors(spark, sf_dir):
+    """Which queries are well formed, and which of these have something to rank."""
+
+    def verdict(text: str, make) -> bool:
+        try:
+            make(text)
+        except QueryParseError:
+            return False
+        return True
+
+    return spark.createDataFrame([(t, verdict(t, parse_query), verdict(t, lambda x: structured_tree(x, CONFIGS["default"]))) for t in VERDICTS], "query string, parsed boolean, ranked boolean")
+
+
+def title_categories(spark, sf_dir):
+    return make_titles(spark, 2000).select("product_id", "category", (F.length("title") > 0).alias("has_title"))
+
+
+def tokenized(spark, sf_dir):
+    found = tokenize_documents(documents(spark, sf_dir))
+    return found.select("doc_id", "normalized_text", F.array_join("tokens", " ").alias("tokens"), "token_count")
+
+
 # Preparation
 
 
@@ -201,6 +291,8 @@ def queries() -> dict[str, Query]:
     found: dict[str, Query] = {f"tok_{c}": partial(tokens_by, c) for c in CONFIGS}
     found |= {"normalized_text": normalized, "doc_term_counts": doc_term_counts, "doc_lengths": doc_lengths}
     found |= {f.__name__: f for f in (vocab_df_cf, vocab_ids, vocab_summary, zipf_top50, vocab_by_config, postings, positional_postings, index_stats, idf_terms, bm25_term_doc, bm25_k1b_grid, bm25_batch, esci_grades, prep_titles, prep_esci_limit)}
+    found |= {f.__name__: f for f in (eval_gaps, csv_round_trip, csv_rows, qrels_round_trip, queries_round_trip, index_json_round_trip, index_parquet_round_trip, literal_texts, lookup_forms, search_forms, query_errors, title_categories)}
+    found |= {"tokenized_documents": tokenized}
     found |= {"hapax_ratio": hapax, "lookup_term": partial(lookup_of, "ononst"), "lookup_missing": partial(lookup_of, "zzzz")}
     found |= {name: partial(ranked_by, terms) for name, terms in RANKED.items()}
     found |= {name: partial(matched, text) for name, (text, _) in MATCHED.items()}
@@ -218,6 +310,10 @@ RANKED = {
 }
 
 
+#: Query texts, whether they are well formed, and whether there is something to rank.
+VERDICTS = {'"a b': (False, False), "a NEAR/3 b": (True, True), "a NEAR/0 b": (False, False), "(a": (False, False), "a OR": (False, False), "NOT a": (True, False), "a NOT b": (True, True), "NEAR/3x": (False, False), "": (False, False), "a b": (True, True)}
+
+
 # SQL of the same rows
 
 
@@ -309,8 +405,8 @@ def run_sql(terms: str, top_k: int, candidates: str = "", score: str = score_sql
     return f"SELECT {keys}, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ({inner})) WHERE rank <= {top_k}"
 
 
-def metrics_sql(queries: dict[str, str], run: str) -> str:
-    return f"""{base()}, queries AS {values(dict.fromkeys(queries, ''))}, run AS ({run}),
+def metrics_sql(queries: dict[str, str], run: str, config: str = "default") -> str:
+    return f"""{base(config)}, queries AS {values(dict.fromkeys(queries, ''))}, run AS ({run}),
 qrels AS (SELECT query_id, CAST(doc_id AS VARCHAR) AS doc_id, 2 * quality + 1 - toxic AS relevance FROM labels CROSS JOIN queries),
 hits AS (SELECT query_id, sum(CASE WHEN rank <= 10 AND relevance >= 2 THEN 1 ELSE 0 END) AS found, min(CASE WHEN relevance >= 2 THEN rank END) AS first, sum(CASE WHEN rank <= 10 THEN coalesce(relevance, 0) / log2(rank + 1.0) END) AS dcg FROM run LEFT JOIN qrels USING (query_id, doc_id) GROUP BY query_id),
 ideal AS (SELECT query_id, sum(CASE WHEN relevance >= 2 THEN 1 ELSE 0 END) AS relevant, sum(CASE WHEN place <= 10 THEN relevance / log2(place + 1.0) END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, doc_id) AS place FROM qrels) GROUP BY query_id),
@@ -369,6 +465,24 @@ def oracle_sql() -> dict[str, str]:
     found["eval_structured_per_query"] = f"{metrics_sql(STRUCTURED, structured_run_sql(20))} {PER_QUERY}"
     found["eval_structured_report"] = f"{metrics_sql(STRUCTURED, structured_run_sql(20))} {MEANS}"
     found["esci_grades"] = "SELECT doc_id, CAST(2 * quality + toxic AS INTEGER) AS relevance FROM labels"
+    found["eval_gaps"] = f"{metrics_sql(QUERIES, run_sql(split_sql(values(QUERIES)), 5), 'stop')} SELECT query_id, doc_id, CAST(relevance AS INTEGER) AS relevance, CAST(length(text) AS INTEGER) AS n_chars FROM qrels JOIN (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents) t USING (doc_id) ANTI JOIN run USING (query_id, doc_id) WHERE relevance >= 2"
+    found["csv_round_trip"] = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') AS text FROM documents"
+    found["csv_rows"] = "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name FROM part"
+    found["qrels_round_trip"] = f"SELECT query_id, CAST(doc_id AS VARCHAR) AS doc_id, CAST(2 * quality + 1 - toxic AS INTEGER) AS relevance FROM labels CROSS JOIN {values(dict.fromkeys(QUERIES, ''))}"
+    found["queries_round_trip"] = "SELECT CAST(item_id AS VARCHAR) AS query_id, trim(text) AS query FROM benchmark"
+    titles = "SELECT CAST(p_partkey AS VARCHAR) AS doc_id, unnest(regexp_extract_all(replace(lower(p_name), '&', ' and '), '[a-z0-9]+')) AS term FROM part"
+    found["index_json_round_trip"] = f"SELECT term, doc_id, count(*) AS tf FROM ({titles}) GROUP BY ALL"
+    found["index_parquet_round_trip"] = f"{plain} SELECT term, df, cf, n AS document_count, total AS total_terms FROM terms CROSS JOIN stats"
+    found["literal_texts"] = "SELECT * FROM (VALUES ('text-1', 'Red Phone'), ('text-2', ''), ('text-3', 'blue case')) AS v(doc_id, text)"
+    found["lookup_forms"] = "SELECT item_id, lower(trim(text)) AS form FROM benchmark"
+    found["search_forms"] = r"SELECT item_id, array_to_string(list_filter(string_split_regex(lower(trim(text)), '\s+'), lambda t: t <> ''), '|') AS terms FROM benchmark"
+    found["query_errors"] = "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {a}, {b})" for t, (a, b) in VERDICTS.items()) + ") AS v(query, parsed, ranked)"
+    cases, below = "", 0
+    for name, (share, *_) in CATEGORIES.items():
+        below += share
+        cases += f" WHEN (n * 183 + 42) % 500 < {below} THEN '{name}'"
+    found["title_categories"] = f"SELECT printf('fk-%03d', n + 1) AS product_id, CASE{cases} END AS category, true AS has_title FROM range(2000) t(n)"
+    found["tokenized_documents"] = f"SELECT doc_id, normalized_text, tokens, token_count FROM ({found['normalized_text']}) JOIN ({found['tok_default']}) USING (doc_id)"
     found["prep_titles"] = "SELECT printf('flipkart-%06d', p_partkey) AS product_id, trim(p_name) AS title FROM part WHERE p_partkey % 7 <> 0"
     found["prep_esci_limit"] = "SELECT printf('query-%06d', p_partkey % 40 + 1) AS query_id, CAST(p_partkey AS VARCHAR) AS product_id, trim(p_name) AS title, 'E' AS esci_label FROM part WHERE p_partkey % 40 + 1 <= 5"
     return found

@@ -51,9 +51,9 @@ def read_documents(spark: SparkSession, path: str, text_column: str = "title", i
     return rows if limit is None else rows.limit(max(1, limit))
 
 
-def read_queries(spark: SparkSession, path: str) -> DataFrame:
+def read_queries(spark: SparkSession, path: str, id_column: str = "query_id", text_column: str = "query") -> DataFrame:
     rows = read_csv(spark, path)
-    return rows.select(F.trim("query_id").alias("query_id"), F.trim("query").alias("query"))
+    return rows.select(F.trim(id_column).alias("query_id"), F.trim(text_column).alias("query"))
 
 
 def esci_grade(label):
