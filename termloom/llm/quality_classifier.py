@@ -1,7 +1,7 @@
 """Quality and toxicity classifier by co-training.
 
-Two views of a document are kept apart: its text (hashed words and measures of the
-writing) and its metadata (source, language, length). A logistic regression on each view
+Two views of a document are kept apart: its text (hashed words, beginnings of words, and
+measures of the writing) and its metadata (source, language, length). A logistic regression on each view
 learns from labelled documents. Then, over rounds, each view scores all documents of the
 corpus; those without a label that it is surest of get its label, and the other view
 learns from them too. After each round both views are calibrated on held-out labels,
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -37,6 +38,8 @@ DIMENSIONS = WORDS + MEASURES
 #: Labelled rows, and pseudo-labelled rows for each target, view and round, that are learned from at most.
 MAX_LABELLED, MAX_PSEUDO = 6_000, 400
 ROUNDS = 2
+#: Bytes of the beginnings of words that are features beside the words.
+BEGINNINGS = (4, 6)
 #: A view is sure of a document whose probability is this far from one half.
 SURE = 0.4
 TARGETS = ("quality", "toxic")
@@ -48,8 +51,10 @@ def share(raw: bytes, of: bytes) -> float:
     return (len(raw) - len(raw.translate(None, of))) / len(raw)
 
 
-def feature_of(word: bytes) -> int:
-    return zlib.crc32(word.strip(b".,;:!?\"'()[]{}<>|*#$%&")) % WORDS
+def feature_of(word: bytes) -> tuple[int, ...]:
+    """The hashed features of a word: itself, and its beginnings, which inflected and compound forms share."""
+    word = word.strip(b".,;:!?\"'()[]{}<>|*#$%&")
+    return zlib.crc32(word) % WORDS, *(zlib.crc32(word[:n] + b"-") % WORDS for n in BEGINNINGS if len(word) > n)
 
 
 def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +64,7 @@ def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     n = len(words)
     if not n:
         return np.array([WORDS], np.int32), np.array([1.0], np.float32)
-    ids = np.fromiter(map(resident(__name__, "words", lambda: Recent(feature_of, 200_000)).__getitem__, words), np.int32, n)
+    ids = np.fromiter(chain.from_iterable(map(resident(__name__, "words", lambda: Recent(feature_of, 200_000)).__getitem__, words)), np.int32)
     index, counts = np.unique(ids, return_counts=True)
     values = np.log1p(counts).astype(np.float32) / 2
     chars = max(1, len(text))

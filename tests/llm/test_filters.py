@@ -249,7 +249,7 @@ def test_classifier_on_held_out_labels(spark):
 
 def naive_features(text):
     w = (text or "").encode().lower().split()
-    counts = Counter(feature_of(x) for x in w)
+    counts = Counter(i for x in w for i in feature_of(x))
     n, raw, lines = len(w), (text or "").encode(), (text or "").split("\n")
     if not n:
         return {WORDS: 1.0}
