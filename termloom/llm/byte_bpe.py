@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from termloom.llm.common import arrow_map, documents, resident
 
 #: Chunks, and pieces, whose ids a worker keeps (two generations of so many each).
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 60_000
 #: Bytes of new pieces replayed together at most.
 CORPUS_BYTES = 2_000_000
 #: No merge: above every rank.
@@ -85,14 +85,14 @@ class MergeReplay:
         self.pieces_of = regex.compile(pattern).findall
         self.hard = regex.compile(r"(?<=\S) (?=\S)").split
         self.loose = re.compile(r" \s|\s |\A\s|\s\Z").search  # its \s holds more than that of the pieces
-        self.merges: dict[int, int] = {}
+        pairs: dict[int, int] = {}
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    self.merges[left << 20 | right] = rank
-        self.pair_keys = np.array(sorted(self.merges), np.int64)
-        self.pair_values = np.array([self.merges[k] for k in self.pair_keys.tolist()], np.int64)
+                    pairs[left << 20 | right] = rank
+        self.pair_keys = np.array(sorted(pairs), np.int64)
+        self.pair_values = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
         # The last rank of each band, and one after all.
         self.bands = np.unique(np.geomspace(1, max(self.bytes_of) + 1, BANDS).astype(np.int64))
         # The ranks of pairs of single bytes, by the bytes; 256 is the gap.
@@ -193,8 +193,13 @@ class MergeReplay:
     def replay_alone(self, piece: bytes) -> bytes:
         """The ids of one piece, one merge at a time: the lowest rank, of equals the leftmost."""
         n = len(piece)
-        symbols, merges = self.single[np.frombuffer(piece, np.uint8)].tolist(), self.merges.get
+        symbols = self.single[np.frombuffer(piece, np.uint8)].tolist()
         following, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def merges(key: int) -> int | None:
+            at = int(np.searchsorted(self.pair_keys, key))
+            return int(self.pair_values[at]) if at < len(self.pair_keys) and self.pair_keys[at] == key else None
+
         queue = [(rank, i) for i in range(n - 1) if (rank := merges(symbols[i] << 20 | symbols[i + 1])) is not None]
         heapify(queue)
         while queue:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 from weakref import WeakKeyDictionary
 
@@ -70,6 +72,18 @@ def discard(*frames: DataFrame | None) -> None:
             delete(frame.sparkSession, PATHS.pop(frame))
 
 
+#: Rows of an Arrow batch where the session has Spark's default of 10,000: long texts make those large on both sides.
+BATCH_ROWS, DEFAULT_ROWS = "1000", "10000"
+BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ready(spark: SparkSession) -> None:
+    """Ship the package, and bound the batches that go to Python workers unless the session has set its own bound."""
+    ship_package(spark)
+    if spark.conf.get(BATCHES) == DEFAULT_ROWS:
+        spark.conf.set(BATCHES, BATCH_ROWS)
+
+
 def ddl(schema: Schema) -> str:
     return ", ".join(f"`{name}` {kind}" for name, kind in schema)
 
@@ -94,18 +108,30 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list
                 found = block([column.to_pylist() for column in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(found, kinds, strict=True)], names=names)
 
-    ship_package(df.sparkSession)
+    ready(df.sparkSession)
     return df.mapInArrow(run, ddl(schema))
 
 
 #: What a worker keeps from task to task (vocabularies, caches, tables): that of one operator at a time.
 RESIDENT: dict[str, dict] = {}
+#: Whose work this worker did last.
+LAST = ""
 
 
 def leave_to(owner: str) -> None:
-    """Forget what other operators keep in this worker, so that a pipeline's stages do not add up."""
+    """Forget what other operators keep in this worker and give its memory back, so that a pipeline's stages do not add up."""
+    global LAST
+    if owner == LAST:
+        return
+    LAST = owner
     for other in [o for o in RESIDENT if o != owner]:
         del RESIDENT[other]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # only glibc has it
 
 
 def resident(owner: str, key, build: Callable):

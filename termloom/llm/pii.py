@@ -37,8 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.llm.common import arrow_map, documents, leave_to
-from termloom.runtime import ship_package
+from termloom.llm.common import arrow_map, documents, leave_to, ready
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -438,5 +437,5 @@ def mask_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
                 new = pa.array([masked(t, {k: b[k] + m[k] for k in KINDS}) if t else t for t, (b, m) in zip(texts, found, strict=True)], part.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(part.columns)], schema=part.schema)
 
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

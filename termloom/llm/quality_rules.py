@@ -41,7 +41,7 @@ LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "nl", "pl", "sv", "cs", "ru", "
 #: First code points of the blocks that name a script, in ascending order.
 SCRIPTS = ((0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "indic"), (0xE00, "thai"), (0x1100, "hangul"), (0x1E00, "latin"), (0x3040, "kana"), (0x3400, "han"), (0xAC00, "hangul"), (0xD800, "other"))
 #: Words whose ids a worker keeps, and those of one block more.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 MOST_CLASS = 20
 WORD_LINE = re.compile(r"[^\x20\x09-\x0D]").search
 ASCII_LETTER = re.compile(r"[A-Za-z]").search
@@ -115,7 +115,7 @@ def piece_model(path: str) -> tuple[Encoder, np.ndarray]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
 
     def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = model.encode([w.decode(errors="replace") for w in words])
+        found = model.encode([w.decode(errors="replace") for w in words], num_threads=1)
         return np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
 
     return encode, np.array([model.is_byte(i) for i in range(model.get_piece_size())])

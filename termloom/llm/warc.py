@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm.common import arrow_map, cut, write
-from termloom.runtime import ship_package, work_path
+from termloom.llm.common import arrow_map, cut, ready, write
+from termloom.runtime import work_path
 
 #: Records carry this date unless the caller names another; an archive is the same each time it is written.
 DATE = "2000-01-01T00:00:00Z"
@@ -183,5 +183,5 @@ def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), schema.types)], schema=schema)
 
-    ship_package(spark)
+    ready(spark)
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "record_id string, record_type string, url string, block binary")
