@@ -30,10 +30,10 @@ from collections.abc import Callable, Sequence
 from itertools import chain
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.llm.common import arrow_map, cut, resident
+from termloom.llm.common import arrow_map, cut, discard, resident
 
 SYMBOLS = "#*$%&|<>"
 #: Languages with a band of their own (ISO 639-1).
@@ -238,23 +238,33 @@ def length_class(n_words):
     return F.least(F.floor(F.log2(F.greatest(n_words, F.lit(1)).cast("double"))), F.lit(MOST_CLASS)).cast("int")
 
 
+#: Parts of one in which measures count for the bands.
+PARTS = 10_000
 GROUP = ("language", "script", "length_class")
 #: The sets of texts that a band is taken from, the first that has enough texts: what they have in common, and the measures that they serve (all, or those that vary with length too).
 SETS = (("language", "length_class"), ("language",), ("script", "length_class"), ("script",))
 
 
 def quartiles(measured: DataFrame, names: list[str]) -> list[dict]:
-    """For each of SETS the number of texts and the quartiles of the measures, by the set's values.
+    """For each of SETS, by the set's values, the number of texts ("of") and the quartiles of each measure.
 
-    Partial sketches are merged for a number of groups that the fixed lists of languages,
-    scripts and length classes bound, so what reaches the driver is bounded too.
+    Measures count in whole ten-thousandths, so the counts are exact, merge in any order and
+    are the same in every run. Partial counts leave each task; the fixed lists of
+    languages, scripts and length classes and the ten-thousandths bound how many there are.
     """
+    each = F.array(*(F.struct(F.lit(k).alias("m"), F.floor(F.col(n) * PARTS).cast("bigint").alias("v")) for k, n in enumerate(names)))
+    counted = cut(measured.where(~F.col("base_failed")).select(*GROUP, F.inline(each)).groupBy(*GROUP, "m", "v").agg(F.count("*").alias("n")))
     found = []
-    passing = measured.where(~F.col("base_failed"))
-    rows = passing.groupingSets([[F.col(c) for c in own] for own in SETS], *GROUP).agg(F.grouping_id().alias("g"), F.count("*").alias("of"), *(F.percentile_approx(n, [0.25, 0.5, 0.75], 2000).alias(n) for n in names)).collect()
     for own in SETS:
-        absent = sum(1 << (len(GROUP) - 1 - i) for i, c in enumerate(GROUP) if c not in own)
-        found.append({tuple(r[c] for c in own): r for r in rows if r.g == absent})
+        whole = Window.partitionBy(*own, "m")
+        so_far = F.sum("n").over(whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        spread = counted.groupBy(*own, "m", "v").agg(F.sum("n").alias("n")).select("*", so_far.alias("so_far"), F.sum("n").over(whole).alias("of"))
+        points = [F.min(F.when(F.col("so_far") >= q * F.col("of"), F.col("v"))).alias(f"q{k}") for k, q in enumerate((0.25, 0.5, 0.75))]
+        groups: dict[tuple, dict] = {}
+        for r in spread.groupBy(*own, "m").agg(F.max("of").alias("of"), *points).collect():
+            groups.setdefault(tuple(r[c] for c in own), {"of": r.of})[names[r.m]] = [r[f"q{k}"] / PARTS for k in range(3)]
+        found.append(groups)
+    discard(counted)
     return found
 
 
@@ -264,7 +274,7 @@ def limits(found: list[dict], group: dict, name: str, by_length: bool, least: in
         if ("length_class" in own) > by_length or group[own[0]] is None:
             continue
         row = rows.get(tuple(group[c] for c in own))
-        if row is not None and row.of >= least:
+        if row is not None and row["of"] >= least:
             return row[name]
     return None
 

@@ -63,7 +63,7 @@ def naive_verdicts(texts, paths, width=2.0, upper=4.0, least=30):
         for same in ([lambda r: r[1] == lang and r[3] == size, lambda r: r[1] == lang] if lang else []) + [lambda r: r[2] == script and r[3] == size, lambda r: r[2] == script]:
             if not by_length and same(("", lang, script, -1, ())) is False:
                 continue
-            own = sorted(r[4][k][j] for r in passing if same(r))
+            own = sorted(math.floor(r[4][k][j] * 10_000) / 10_000 for r in passing if same(r))
             if len(own) >= least:
                 return [own[math.ceil(q * len(own)) - 1] for q in (0.25, 0.5, 0.75)]
         return None
