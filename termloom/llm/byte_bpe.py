@@ -34,7 +34,9 @@ from pyspark.sql import DataFrame
 from termloom.llm.common import arrow_map, documents, resident
 
 #: Chunks, and pieces, whose ids a worker keeps (two generations of so many each).
-CACHE_ENTRIES = 60_000
+CACHE_ENTRIES = 100_000
+#: Texts whose pieces are replayed as one corpus, at most.
+BLOCK_ROWS = 1024
 #: Bytes of new pieces replayed together at most.
 CORPUS_BYTES = 2_000_000
 #: No merge: above every rank.
@@ -275,7 +277,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
 
         return block
 
-    return arrow_map(documents(docs, id_column, text_column), make, [(id_column, "bigint"), ("ids", "array<bigint>")])
+    return arrow_map(documents(docs, id_column, text_column), make, [(id_column, "bigint"), ("ids", "array<bigint>")], BLOCK_ROWS)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
@@ -305,4 +307,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_i
         return block
 
     schema = [(id_column, "bigint"), ("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
-    return arrow_map(documents(docs, id_column, text_column), make, schema)
+    return arrow_map(documents(docs, id_column, text_column), make, schema, BLOCK_ROWS)
