@@ -43,7 +43,7 @@ def index_of(spark: SparkSession, sf_dir: str, config: str = "default") -> Searc
 
 
 def stored_index_of(spark: SparkSession, sf_dir: str, config: str = "default", positions: bool = True) -> SearchIndex:
-    """For queries that read an index more than once: built and saved, so that texts are tokenised once."""
+    """For tables of queries: built and saved, so that texts are tokenised once. For one query of few terms a lazy index is faster: only their postings are shuffled."""
     return stored(index_of(spark, sf_dir, config), positions)
 
 
@@ -127,11 +127,11 @@ def idf_terms(spark, sf_dir):
 
 
 def bm25_term_doc(spark, sf_dir):
-    return rounded(term_scores(stored_index_of(spark, sf_dir, positions=False), ["ononst", "inoran"]))
+    return rounded(term_scores(index_of(spark, sf_dir), ["ononst", "inoran"]))
 
 
 def ranked_by(terms, spark, sf_dir):
-    return rounded(search(terms, stored_index_of(spark, sf_dir, positions=False)))
+    return rounded(search(terms, index_of(spark, sf_dir)))
 
 
 def bm25_k1b_grid(spark, sf_dir):
@@ -151,7 +151,7 @@ def matched(text, spark, sf_dir):
 
 
 def structured(text, spark, sf_dir):
-    return rounded(search_structured(text, stored_index_of(spark, sf_dir)))
+    return rounded(search_structured(text, index_of(spark, sf_dir)))
 
 
 def matched_bridge(spark, sf_dir):
