@@ -35,10 +35,10 @@ from termloom.llm.common import arrow_map, documents, resident
 
 #: Chunks, and pieces, whose ids a worker keeps (two generations of so many each).
 CACHE_ENTRIES = 100_000
-#: Texts whose pieces are replayed as one corpus, at most.
-BLOCK_ROWS = 1024
+#: Texts whose pieces are replayed as one corpus, at most: besides its caches, a worker holds the pieces of one block and the arrays of one corpus.
+BLOCK_ROWS = 256
 #: Bytes of new pieces replayed together at most.
-CORPUS_BYTES = 2_000_000
+CORPUS_BYTES = 250_000
 #: No merge: above every rank.
 NONE = 1 << 40
 #: The symbol after each piece; it makes no pair.

@@ -30,10 +30,11 @@ from collections.abc import Callable, Sequence
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.llm.common import arrow_map, cut, discard, resident
+from termloom.llm.common import ARROW_TYPES, arrow_map, cut, discard, resident
 
 SYMBOLS = "#*$%&|<>"
 #: Languages with a band of their own (ISO 639-1).
@@ -311,8 +312,10 @@ def quality_rules(docs: DataFrame, path: str | Sequence[str], width: float = 2.0
             low, high = band(q, width, width if kind == "fallback_share" else upper_width, 0.01 if kind == "fallback_share" else 0.02)
             row += [-infinite if kind == "fallback_share" else low, infinite if kind == "token_entropy" else high]
         rows.append(tuple(row))
-    bounds = ", ".join(f"{n}_low double, {n}_high double" for n in names)
-    table = spark.createDataFrame(rows, f"of_language string, of_script string, of_class int, {bounds}")
+    # From Arrow: a list would go through Python workers of their own, which stay on the executors beside those of arrow_map.
+    schema = [("of_language", "string"), ("of_script", "string"), ("of_class", "int"), *((f"{n}_{end}", "double") for n in names for end in ("low", "high"))]
+    columns = [pa.array([row[k] for row in rows], ARROW_TYPES[kind]) for k, (_, kind) in enumerate(schema)]
+    table = spark.createDataFrame(pa.table(columns, [name for name, _ in schema]))
     same = F.col("language").eqNullSafe(F.col("of_language")) & (F.col("script") == F.col("of_script")) & (F.col("length_class") == F.col("of_class"))
     outside = F.lit(False)
     for kind in range(3):

@@ -304,3 +304,10 @@ def test_classifier_edges(spark):
     none = classify(edge_documents(spark), labels.limit(0)).collect()
     assert all(r.kept and r.quality_score == 0.5 for r in none)
     assert classify(no_documents(spark), labels).count() == 0
+
+
+def test_quality_bands_start_no_workers_of_their_own(spark, capsys):
+    """A table of bands made from a list would be read by further Python workers on the executors."""
+    quality_rules(documents(spark, ["some words"]).localCheckpoint(), P.path(VOCABULARIES[0])).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "LocalTableScan" in plan and "ExistingRDD" not in plan

@@ -1,6 +1,7 @@
 import base64
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import public_tokenizers as P
@@ -8,6 +9,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import EDGES, by_id, documents, edge_documents, no_documents, sha
+from termloom.llm import byte_bpe
 from termloom.llm.byte_bpe import MergeReplay, decode, encode, load_ranks, round_trip
 from termloom.llm.token_counts import MergeCounter, token_counts
 
@@ -85,3 +87,16 @@ def test_encode_and_decode(spark):
     docs = documents(spark, ["hello world", None, "é😀 "])
     back = by_id(decode(encode(docs, RANKS, P.PATTERN), RANKS, P.PATTERN))
     assert [back[i].text for i in range(3)] == ["hello world", "", "é😀 "]
+
+
+def test_a_worker_holds_one_block_and_one_corpus_besides_its_caches():
+    """Peak memory over 1,024 texts of words that are all different: the pieces and arrays of all of them at once took a worker too much."""
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(100)) for _ in range(1024)]
+    own = MergeReplay(RANKS, P.PATTERN, entries=1000)
+    tracemalloc.start()
+    for start in range(0, len(texts), byte_bpe.BLOCK_ROWS):
+        own.encode_block(texts[start : start + byte_bpe.BLOCK_ROWS])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6, peak
